@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import extract as X
 from quire.operators import merge as M
 from quire.operators import rollup as R
 from quire.operators import tables as E
-from quire.session import table
+from quire.session import stage, table
+from quire.sources import books as B
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -568,3 +570,131 @@ def export_path_diff(spark: SparkSession, d: str) -> DataFrame:
     a = pair.join(export.withColumnsRenamed({"export_id": "old_id"}), "old_id").select("export_id", "raw")
     b = pair.select("export_id").join(export, "export_id")
     return R.diff_paths(R.flatten_json(a, "export_id", "raw"), R.flatten_json(b, "export_id", "raw"), "export_id")
+
+
+# ---- extraction ---------------------------------------------------------------------------------
+
+
+@query(r"""SELECT step_id, regexp_extract(response_body, '<h1>([^<]*)</h1>', 1) AS heading, regexp_extract(response_body, '<p>([^<]*)</p>', 1) AS paragraph, regexp_extract(response_body, '<p>([^<]*)</p>', 1) AS by_path, regexp_replace(regexp_extract(response_body, '<h1>([^<]*)</h1>', 1), '[aeiou]', '*', 'g') AS replaced
+    FROM recorded_step WHERE response_body LIKE '<html><h1>%'""")
+def page_fields(spark: SparkSession, d: str) -> DataFrame:
+    """CSS, XPath and a replaced suffix over recorded pages, all rules on one parse."""
+    recorded = table(spark, d, "recorded_step").filter("response_body like '<html><h1>%'")
+    rules = {"heading": "tag.h1@text", "paragraph": "@css:html p@text||tag.div@text", "by_path": "//p/text()", "replaced": "h1@text##[aeiou]##*"}
+    return X.extract(recorded, "step_id", "response_body", rules).select("step_id", *(F.coalesce(F.get(c, F.lit(0)), F.lit("")).alias(c) for c in rules))
+
+
+@query(f"""SELECT doc_id, CAST(len(ps) AS INTEGER) AS paragraphs, CAST(len(ps) - 1 AS INTEGER) AS with_id, regexp_extract(t, '<!-- (.*?) -->', 1) AS source FROM (SELECT doc_id, t, string_split(t, '</p>' || chr(10) || '<p id=') AS ps FROM {PAGES} WHERE t IS NOT NULL)""")
+def page_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Elements by tag and by attribute of whole pages, and a comment found by a step chain."""
+    rules = {"all": "div.c > p@text", "with_id": "p[id=x]@id", "source": [{"kind": "regexExtract", "pattern": r"<!-- (.*?) -->", "group": 1, "first": True}, {"kind": "fallback", "values": [""]}]}
+    found = X.extract(pages(spark, d).filter("t is not null"), "doc_id", "t", rules)
+    return found.select("doc_id", F.size("all").alias("paragraphs"), F.size("with_id").alias("with_id"), F.get("source", F.lit(0)).alias("source"))
+
+
+@query(r"""SELECT export_id, json_extract_string(raw, '$.bookSourceName') AS name, json_extract_string(raw, '$.bookSourceUrl') || '|' || json_extract_string(raw, '$.sourceId') AS joined, json_extract_string(raw, '$.bookSourceUrl') AS either, array_to_string(list_sort(json_keys(raw)), ',') AS names FROM source_export""")
+def json_fields(spark: SparkSession, d: str) -> DataFrame:
+    rules = {"name": "$.bookSourceName", "joined": "$.bookSourceUrl&&$.sourceId", "either": "$.noSuchName||$.bookSourceUrl", "names": "$.keys()"}
+    found = X.extract(table(spark, d, "source_export"), "export_id", "raw", rules)
+    return found.select("export_id", F.get("name", F.lit(0)).alias("name"), F.array_join("joined", "|").alias("joined"), F.get("either", F.lit(0)).alias("either"), F.array_join("names", ",").alias("names"))
+
+
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events""")
+def json_native(spark: SparkSession, d: str) -> DataFrame:
+    """A plain path, without leaving the engine."""
+    return table(spark, d, "events").select("event_id", F.get(X.json_field(F.col("props"), "k"), F.lit(0)).alias("k"))
+
+
+@query("""SELECT l_orderkey AS order_key, count(*) AS line_count, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS total, CAST(min(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS least, CAST(max(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS most, round(avg(CAST(l_quantity AS BIGINT)), 6) AS mean, count(*) FILTER (l_returnflag = 'R' AND l_quantity > 20) AS returned, count(*) FILTER (l_returnflag IN ('A', 'N')) AS kept FROM lineitem GROUP BY 1""")
+def json_aggregates(spark: SparkSession, d: str) -> DataFrame:
+    """Filters and aggregates of paths over the lines of each order as one JSON text."""
+    line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_quantity").cast("bigint").alias("q"), F.col("l_returnflag").alias("f"))
+    orders = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("order_key")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(line)).alias("lines"))).alias("j"))
+    rules = {"line_count": "$.lines.length()", "total": "$.lines[*].q.sum()", "least": "$.lines[*].q.min()", "most": "$.lines[*].q.max()", "mean": "$.lines[*].q.avg()", "returned": "$.lines[?(@.f == 'R' && @.q > 20)].p", "kept": "$.lines[?(@.f in ['A','N'])].p"}
+    found = X.extract(orders, "order_key", "j", rules)
+    number = lambda c: F.get(c, F.lit(0)).cast("double")
+    return found.select("order_key", F.get("line_count", F.lit(0)).cast("bigint").alias("line_count"), *(number(c).alias(c) for c in ("total", "least", "most")), F.round(number("mean"), 6).alias("mean"), *(F.size(c).cast("bigint").alias(c) for c in ("returned", "kept")))
+
+
+@query(r"""SELECT rec_id, field, CASE WHEN regexp_matches(rule, '^(?i)(@css:|@@)') THEN 'css' WHEN regexp_matches(rule, '^(?i)@xpath:') THEN 'xpath' WHEN regexp_matches(rule, '^(?i)@json:') OR rule LIKE '$.%' OR rule LIKE '$[%' THEN 'json' WHEN rule LIKE '/%' THEN 'xpath' ELSE 'css' END AS mode
+    FROM (SELECT rec_id, k AS field, trim(json_extract_string(ruleSearch, '$.' || k)) AS rule FROM (SELECT rec_id, ruleSearch, unnest(json_keys(ruleSearch)) AS k FROM corpus_source WHERE json_valid(ruleSearch)))""")
+def rule_modes(spark: SparkSession, d: str) -> DataFrame:
+    """The language each search rule is written in."""
+    fields = table(spark, d, "corpus_source").select("rec_id", F.explode(F.from_json("ruleSearch", "map<string,string>")).alias("field", "rule"))
+    r = F.trim("rule")
+    low = F.lower(r)
+    mode = F.when(low.startswith("@css:") | r.startswith("@@"), "css").when(low.startswith("@xpath:"), "xpath").when(low.startswith("@json:") | r.startswith("$.") | r.startswith("$["), "json").when(r.startswith("/"), "xpath").otherwise("css")
+    return fields.select("rec_id", "field", mode.alias("mode"))
+
+
+@query(r"""SELECT rec_id, trim(regexp_extract(searchUrl, '(?s)\A(.*?)(?:,\s*\{[^{].*)?\z', 1)) AS url, coalesce(nullif(upper(regexp_extract(searchUrl, '[''"]?method[''"]?\s*:\s*[''"]?(\w+)', 1)), ''), 'GET') AS method FROM corpus_source WHERE searchUrl IS NOT NULL AND regexp_matches(searchUrl, '\S') AND NOT contains(searchUrl, '@js:')""")
+def request_rules(spark: SparkSession, d: str) -> DataFrame:
+    source = table(spark, d, "corpus_source").filter("searchUrl not like '%@js:%'")
+    return B.requests(source, "rec_id", "searchUrl").select("rec_id", "url", "method")
+
+
+@query(r"""SELECT rec_id, regexp_replace(replace(replace(replace(searchUrl, '{{key}}', '%E5%89%91%20x'), '{{page}}', '2'), '{{page-1}}', '1'), '<([0-9]+)(?:,[0-9]+)*>', '\1', 'g') AS url FROM corpus_source WHERE searchUrl IS NOT NULL""")
+def request_urls(spark: SparkSession, d: str) -> DataFrame:
+    source = table(spark, d, "corpus_source").filter("searchUrl is not null")
+    return source.select("rec_id", B.expand_url(F.col("searchUrl"), {"key": "剑 x"}, 2).alias("url"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), c AS (SELECT *, sum(CASE WHEN regexp_matches(l, '^\s*diff --git ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM l)
+  SELECT doc_id, CAST(n - 1 AS INTEGER) AS chapter_index, max(CASE WHEN regexp_matches(l, '^\s*diff --git ') THEN regexp_replace(l, '^\s+|\s+$', '', 'g') END) AS chapter_title FROM c WHERE n > 0 GROUP BY doc_id, n""")
+def chapters_by_pattern(spark: SparkSession, d: str) -> DataFrame:
+    """Texts cut at heading lines; what stands before the first is dropped."""
+    return B.chapters(table(spark, d, "documents"), "doc_id", "text", pattern=r"^diff --git ").select("doc_id", "chapter_index", "chapter_title")
+
+
+@query(r"""SELECT doc_id, CAST(i AS INTEGER) AS chapter_index FROM (SELECT doc_id, unnest(range(len(ps))) AS i FROM (SELECT doc_id, list_filter(string_split(text, '@@ -'), lambda p: regexp_matches(p, '[^\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0B}\x{1C}-\x{1F}]')) AS ps FROM documents WHERE text <> ''))""")
+def chapters_by_marker(spark: SparkSession, d: str) -> DataFrame:
+    return B.chapters(table(spark, d, "documents"), "doc_id", "text", marker="@@ -").select("doc_id", "chapter_index")
+
+
+def _xml(c: str) -> Column:
+    plain = F.coalesce(F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), F.lit(""))
+    return F.replace(F.replace(F.replace(plain, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+_ENTRY = f"coalesce(nullif({TRIM('id')}, ''), nullif({TRIM('link')}, ''), nullif({TRIM('title')}, ''))"
+
+
+@query(f"""SELECT delivery_id, {_ENTRY} AS id, nullif({TRIM('link')}, '') AS link, nullif({TRIM('published_at')}, '') AS published_at FROM rss_entry WHERE {_ENTRY} IS NOT NULL""")
+def feed_rss(spark: SparkSession, d: str) -> DataFrame:
+    """Each delivery written as an RSS feed of one item and read back."""
+    e = table(spark, d, "rss_entry")
+    xml = F.concat(F.lit("<?xml version='1.0'?><rss version='2.0'><channel><title>f</title><item><title>"), _xml("title"), F.lit("</title><guid>"), _xml("id"), F.lit("</guid><link>"), _xml("link"), F.lit("</link><pubDate>"), _xml("published_at"), F.lit("</pubDate></item></channel></rss>"))
+    return B.feed_entries(e.select("delivery_id", xml.alias("x")), "delivery_id", "x").select("delivery_id", "id", "link", "published_at")
+
+
+@query(f"""SELECT delivery_id, {_ENTRY} AS id, nullif(link, '') AS link FROM rss_entry WHERE {_ENTRY} IS NOT NULL""")
+def feed_atom(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "rss_entry")
+    link = F.when(F.coalesce("link", F.lit("")) != "", F.concat(F.lit("<link rel='alternate' href='"), F.replace(_xml("link"), F.lit("'"), F.lit("&apos;")), F.lit("'/>"))).otherwise("")
+    xml = F.concat(F.lit("<feed xmlns='http://www.w3.org/2005/Atom'><title>f</title><entry><title>"), _xml("title"), F.lit("</title><id>"), _xml("id"), F.lit("</id>"), link, F.lit("</entry></feed>"))
+    return B.feed_entries(e.select("delivery_id", xml.alias("x")), "delivery_id", "x").select("delivery_id", "id", "link")
+
+
+@query("""SELECT delivery_id, id, title, published_at FROM rss_entry WHERE nullif(id, '') IS NOT NULL""")
+def feed_json(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "rss_entry")
+    text = F.to_json(F.struct(F.lit("f").alias("title"), F.array(F.struct(F.col("id"), F.col("title"), F.col("published_at").alias("date_published"))).alias("items")))
+    return B.feed_entries(e.select("delivery_id", text.alias("x")), "delivery_id", "x").select("delivery_id", "id", "title", "published_at")
+
+
+@query(r"""SELECT delivery_id, CAST(0 AS INTEGER) AS pos, regexp_extract(summary, '<p>(\w+) <b>', 1) || ' ' || regexp_extract(summary, '<b>(\w+)</b>', 1) AS title, regexp_extract(summary, '<b>(\w+)</b>', 1) AS bold, 'https://x.test/0' AS url FROM rss_entry WHERE regexp_matches(summary, '^<p>\w+ <b>\w+</b></p>')""")
+def item_fields(spark: SparkSession, d: str) -> DataFrame:
+    """A list rule and the fields of its items over fragments of pages."""
+    e = table(spark, d, "rss_entry").filter(F.col("summary").rlike(r"^<p>\w+ <b>\w+</b></p>"))
+    return X.items(e, "delivery_id", "summary", "tag.p", {"title": "tag.p", "bold": "b@text", "url": "https://x.test/{{n}}"}, {"n": "0"})
+
+
+@query("""SELECT series_id AS key, CAST(row_number() OVER (PARTITION BY series_id ORDER BY first_at, file_no) - 1 AS INTEGER) AS step, CAST(file_no AS VARCHAR) AS url FROM (SELECT series_id, file_no, min(exported_at) AS first_at FROM source_export GROUP BY 1, 2)""")
+def page_walk(spark: SparkSession, d: str) -> DataFrame:
+    """Each series followed from its first file along links to the next."""
+    from pyspark.sql import Window
+
+    f = table(spark, d, "source_export").groupBy("series_id", "file_no").agg(F.min("exported_at").alias("at"))
+    w = Window.partitionBy("series_id").orderBy("at", "file_no")
+    f = stage(f.select(F.col("series_id").alias("key"), F.col("file_no").cast("string").alias("url"), F.lead("file_no").over(w).cast("string").alias("next_url"), F.row_number().over(w).alias("n")), "page-links")
+    return X.follow_pages(f.filter("n = 1").select("key", "url"), f.select("url", "next_url"))
