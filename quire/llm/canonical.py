@@ -9,6 +9,7 @@ what each partition begins with is taken from the ends of those before it.
 from __future__ import annotations
 
 import json
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -22,9 +23,11 @@ SEPARATOR = "\x1f"
 
 
 def letters_and_digits(column: pa.Array) -> pa.Array:
-    """Letters and digits in one letter case, compatibility and composed forms unified."""
-    folded = [None if s is None else s.casefold() for s in pc.utf8_normalize(column, "NFKC").to_pylist()]
-    return pc.replace_substring_regex(pc.utf8_normalize(pa.array(folded, pa.string()), "NFKC"), r"[^\p{L}\p{N}]+", "")
+    """Letters and digits in one letter case, compatibility and composed forms unified. (Arrow's own
+    normalisation leaves marks apart from their letters.)"""
+    nfkc = lambda s: s if s.isascii() else unicodedata.normalize("NFKC", s)
+    folded = [None if s is None else nfkc(nfkc(s).casefold()) for s in column.to_pylist()]
+    return pc.replace_substring_regex(pa.array(folded, pa.string()), r"[^\p{L}\p{N}]+", "")
 
 
 def sorted_object(text: str | None) -> str:

@@ -8,12 +8,12 @@ over ranges of identifiers; arrays of the same range are summed.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,8 +28,8 @@ PARTIAL = "field_name string, term string, occurrences bigint, records bigint"
 @F.pandas_udf(T.StringType())
 def one_width(text: pd.Series) -> pd.Series:
     """Lower case, compatibility forms unified."""
-    once = pc.utf8_normalize(pa.array(text, pa.string(), from_pandas=True), "NFKC")
-    return pc.utf8_normalize(pc.utf8_lower(once), "NFKC").to_pandas()
+    nfkc = lambda s: s if s.isascii() else unicodedata.normalize("NFKC", s)
+    return text.map(lambda s: nfkc(nfkc(s).lower()), na_action="ignore")
 
 
 def blocks(terms: DataFrame) -> DataFrame:
