@@ -70,9 +70,9 @@ def classify(text: Column, labels: dict[str, str]) -> Column:
 def outcome_counts(results: DataFrame, source: str, level: str, status: str, levels: list[str]) -> DataFrame:
     """Per level, how many sources passed, failed or skipped it (a level without a row is skipped), and
     the pass rate, 0 where there is none. One wide row per source, then one pass of counting."""
-    per = results.groupBy(source, level).agg(F.max(F.when(F.col(status) == "pass", 2).otherwise(1)).alias("s"))
-    wide = per.groupBy(source).agg(*(F.max(F.when(F.col(level) == x, F.col("s"))).alias(f"l{i}") for i, x in enumerate(levels)))
-    long = wide.select(F.explode(F.array(*(F.struct(F.lit(x).alias("level"), F.coalesce(F.col(f"l{i}"), F.lit(0)).alias("s")) for i, x in enumerate(levels)))).alias("x")).select("x.level", "x.s")
+    per = results.groupBy(source, level).agg(F.max(F.when(F.col(status) == "pass", 2).otherwise(1)).alias("__s"))
+    wide = per.groupBy(source).agg(*(F.max(F.when(F.col(level) == x, F.col("__s"))).alias(f"__l{i}") for i, x in enumerate(levels)))
+    long = wide.select(F.explode(F.array(*(F.struct(F.lit(x).alias("level"), F.coalesce(F.col(f"__l{i}"), F.lit(0)).alias("s")) for i, x in enumerate(levels)))).alias("x")).select("x.level", "x.s")
     return long.groupBy("level").agg(
         F.count_if(F.col("s") == 2).alias("passed"), F.count_if(F.col("s") == 1).alias("failed"), F.count_if(F.col("s") == 0).alias("skipped"),
         F.round(F.count_if(F.col("s") == 2) / F.greatest(F.count("*"), F.lit(1)), 6).alias("pass_rate"),
@@ -81,7 +81,7 @@ def outcome_counts(results: DataFrame, source: str, level: str, status: str, lev
 
 def verdicts(results: DataFrame, source: str, level: str, status: str, levels: int) -> DataFrame:
     """fully: every level passed and none failed; partially: any passed; else failed; counts of each."""
-    one = results.groupBy(source, level).agg(F.min(F.col(status) == "pass").alias("ok"), F.max(F.col(status) == "pass").alias("any"))
-    per = one.groupBy(source).agg(F.count_if("ok").alias("ok"), F.count_if("any").alias("any"), F.count_if(~F.col("ok")).alias("bad"))
-    verdict = F.when((F.col("ok") == levels) & (F.col("bad") == 0), "fully").when(F.col("any") > 0, "partially").otherwise("failed")
+    one = results.groupBy(source, level).agg(F.min(F.col(status) == "pass").alias("__ok"), F.max(F.col(status) == "pass").alias("__any"))
+    per = one.groupBy(source).agg(F.count_if("__ok").alias("__n_ok"), F.count_if("__any").alias("__n_any"), F.count_if(~F.col("__ok")).alias("__n_bad"))
+    verdict = F.when((F.col("__n_ok") == levels) & (F.col("__n_bad") == 0), "fully").when(F.col("__n_any") > 0, "partially").otherwise("failed")
     return per.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("sources"))
