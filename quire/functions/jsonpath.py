@@ -410,16 +410,30 @@ def interleave(branches: list[list[str]]) -> list[str]:
     return [b[i] for i in range(len(full[0])) for b in full if i < len(b)] if full else []
 
 
+@lru_cache(1024)
+def expression(text: str) -> tuple:
+    """A path expression as data: (operator, parts), (append, literal, inner) or (path, segments)."""
+    text = text.strip()
+    for mark in ("||", "%%", "&&"):
+        if len(parts := split_top(text, mark)) > 1:
+            return (mark, *(expression(p) for p in parts))
+    if text.startswith("{") and (end := text.find("}")) > 0 and text[1:].lstrip().startswith("$"):
+        return ("append", text[end + 1 :], expression(text[1:end]))
+    return ("path", parse(text))
+
+
 def evaluate(text: str, value: object) -> list[str]:
     """A path expression as texts: || takes the first branch with a result, then %% interleaves, then
     && joins; {path}literal appends the literal to each result."""
-    text = text.strip()
-    if len(parts := split_top(text, "||")) > 1:
-        return next((r for p in parts if (r := evaluate(p, value))), [])
-    if len(parts := split_top(text, "%%")) > 1:
-        return interleave([evaluate(p, value) for p in parts])
-    if len(parts := split_top(text, "&&")) > 1:
-        return [x for p in parts for x in evaluate(p, value)]
-    if text.startswith("{") and (end := text.find("}")) > 0 and text[1:].lstrip().startswith("$"):
-        return [x + text[end + 1 :] for x in evaluate(text[1:end], value)]
-    return [as_text(x) for x in select(parse(text), value)]
+    return _results(expression(text), value)
+
+
+def _results(e: tuple, value: object) -> list[str]:
+    if e[0] == "path":
+        return [as_text(x) for x in select(e[1], value)]
+    if e[0] == "append":
+        return [x + e[1] for x in _results(e[2], value)]
+    if e[0] == "||":
+        return next((r for p in e[1:] if (r := _results(p, value))), [])
+    found = [_results(p, value) for p in e[1:]]
+    return interleave(found) if e[0] == "%%" else [x for r in found for x in r]

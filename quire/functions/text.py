@@ -70,21 +70,6 @@ def paragraphs(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, "\n\n"), utrim), lambda p: p != "")
 
 
-def lines_with_offsets(c: Column) -> Column:
-    """array<struct<text, start, end>>: lines that aren't blank, trimmed, by code points."""
-    lines = F.split(c, "\n")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
-
-    def step(acc: Column, line: Column) -> Column:
-        lead = F.length(line) - F.length(F.regexp_replace(line, rf"^{SPACE}+", ""))
-        text = utrim(line)
-        begin = acc["at"] + lead
-        one = F.struct(text.alias("text"), begin.alias("start"), (begin + F.length(text)).alias("end"))
-        return F.struct((acc["at"] + F.length(line) + 1).alias("at"), F.when(text != "", F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(lines, start, step, lambda acc: acc["out"])
-
-
 def sentences(c: Column) -> Column:
     """array<string>: cut after 。！？.!? and trimmed, without blank ones."""
     parts = F.regexp_extract_all(c, F.lit("([^。！？.!?]*[。！？.!?]|[^。！？.!?]+$)"), F.lit(1))

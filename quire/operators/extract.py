@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.plans.rules import Document, Unsupported, compile_any, complete, substitute
+from quire.session import spread, stage
 
 Rule = str | list[dict]
 
@@ -49,7 +50,7 @@ def extract(df: DataFrame, key: str, text: str, rules: dict[str, Rule]) -> DataF
                     out[n].append(_values(p, doc) if s else [])
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, pa.list_(pa.string())) for v in out.values())], [key, *plans])
 
-    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
+    return spread(df.select(F.col(f"`{key}`"), F.col(f"`{text}`"))).mapInArrow(run, schema)
 
 
 def items(df: DataFrame, key: str, text: str, list_rule: str | None, fields: dict[str, str | tuple[str, str]], variables: dict[str, str] | None = None) -> DataFrame:
@@ -102,7 +103,7 @@ def items(df: DataFrame, key: str, text: str, list_rule: str | None, fields: dic
                         out[n].append(one(doc, n))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(pos, pa.int32()), *(pa.array(v, pa.string()) for v in out.values())], names)
 
-    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
+    return spread(df.select(F.col(f"`{key}`"), F.col(f"`{text}`"))).mapInArrow(run, schema)
 
 
 def merge_fields(base: DataFrame, found: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -122,8 +123,6 @@ def follow_pages(start: DataFrame, pages: DataFrame, most: int = 50) -> DataFram
     """Follows links from page to page: start (key, url) over pages (url, next_url), one row per page met
     (key, step, url). A blank link, a page met before or ``most`` pages end a walk. Each round is one
     join of the walks still open, cut by a stored table; the visited list is bounded by ``most``."""
-    from quire.session import stage
-
     links = pages.groupBy("url").agg(F.min("next_url").alias("next_url"))
     walk = start.select("key", "url", F.lit(0).alias("step"), F.array("url").alias("seen")).filter(F.length(F.trim("url")) > 0)
     out = None

@@ -12,6 +12,7 @@ from quire.operators import extract as X
 from quire.operators import merge as M
 from quire.operators import rollup as R
 from quire.operators import tables as E
+from quire.operators.slices import slices
 from quire.session import stage, table
 from quire.sources import books as B
 
@@ -174,16 +175,16 @@ def text_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT doc_id, CAST(i AS INTEGER) AS pos, md5(p) AS digest FROM (SELECT doc_id, unnest(range(len(ps))) AS i, unnest(ps) AS p FROM (
     SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '([^。！？.!?]*[。！？.!?]|[^。！？.!?]+\\z)', 1), lambda x: {TRIM('x')}), lambda x: x <> '') AS ps FROM documents))""")
 def text_sentences(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "p"))
-    return p.select("doc_id", "pos", F.md5(F.encode("p", "UTF-8")).alias("digest"))
+    p = slices(table(spark, d, "documents"), "doc_id", "text", "sentence")
+    return p.select("doc_id", "pos", F.md5(F.encode("slice", "UTF-8")).alias("digest"))
 
 
 @query(f"""WITH s AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
   o AS (SELECT doc_id, i, l, coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
   SELECT doc_id, CAST(before + length(l) - length(regexp_replace(l, '\\A{S}+', '')) AS INTEGER) AS line_start, CAST(before + length(l) - length(regexp_replace(l, '\\A{S}+', '')) + length({TRIM('l')}) AS INTEGER) AS line_end FROM o WHERE {TRIM('l')} <> ''""")
 def text_line_offsets(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "documents").select("doc_id", F.explode(T.lines_with_offsets(F.col("text"))).alias("x"))
-    return p.select("doc_id", F.col("x.start").alias("line_start"), F.col("x.end").alias("line_end"))
+    p = slices(table(spark, d, "documents"), "doc_id", "text", "line")
+    return p.select("doc_id", F.col("start_char").alias("line_start"), F.col("end_char").alias("line_end"))
 
 
 RULES = [

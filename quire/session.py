@@ -68,3 +68,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as the session has cores, for stages whose work lies in Python.
+
+    A large input has more splits than that, and nothing is moved; only a small file, which would be one
+    task's work, is dealt out.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = df._jdf.queryExecution().toRdd().getNumPartitions() < cores
+    return df.repartition(cores) if few else df

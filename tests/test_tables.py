@@ -10,6 +10,7 @@ from quire.operators import merge as M
 from quire.operators import rollup as R
 from quire.operators import tables as E
 from quire.operators.ordered import running
+from quire.operators.slices import slices
 
 
 def test_running_over_partitions(spark):
@@ -101,7 +102,6 @@ def test_text_functions(spark):
     assert one(T.redact, "Authorization: Bearer abc.d; token=xy&b") == "Authorization: [REDACTED] [REDACTED]; token=[REDACTED]&b"
     assert one(T.sentences, "A b. C！D") == ["A b.", "C！", "D"]
     assert one(T.encode_component, "a b~'é*") == "a%20b~'%C3%A9*" and one(T.encode_uri, "http://h/a b?q=é") == "http://h/a%20b?q=%C3%A9"
-    assert [tuple(x) for x in one(T.lines_with_offsets, " a\n\n  bc ")] == [("a", 1, 2), ("bc", 6, 8)]
     assert one(T.squeeze, None) is None and one(lambda c: T.digest(c, "sm3"), "x") == ""
     m = spark.createDataFrame([({"b": "2", "a": "1", "c": ""},)], "m map<string,string>")
     assert m.select(T.sign_payload(F.col("m"))).first()[0] == "a=1&b=2"
@@ -109,6 +109,19 @@ def test_text_functions(spark):
     assert one(lambda c: T.replace_rules(c, rules, False, F.lit("Nope")), "ab") == "cc"
 
 
+def test_slices(spark):
+    text = " a\n\n  bc \n é d. e！f"
+    df = spark.createDataFrame([(1, text, 9), (2, None, 9), (3, "", 9), (4, "\n \n", 9), (5, text, 9)], "k bigint, t string, pos int")
+    got = lambda by: [tuple(r)[1:] for r in slices(df, "k", "t", by).filter("k = 5").orderBy("pos").collect()]
+    assert got("line") == [(0, "a", 1, 2), (1, "bc", 6, 8), (2, "é d. e！f", 11, 19)]
+    assert got("paragraph") == [(0, "a", 1, 2), (1, "bc \n é d. e！f", 6, 19)]
+    assert got("sentence") == [(0, "a\n\n  bc \n é d.", 1, 15), (1, "e！", 16, 18), (2, "f", 18, 19)]
+    assert {r.k for r in slices(df, "k", "t").collect()} == {1, 5}
+    for r in slices(df, "k", "t", "sentence").collect():
+        assert text[r.start_char : r.end_char] == r.slice
+    assert slices(df.limit(0), "k", "t").count() == 0
+
+
 def test_queries_agree_with_their_sql_on_empty_tables(spark, tmp_path):
     """Every registered query gives its columns, and no row, over empty tables."""
     from quire import queries as core
