@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import spread
+
 TOKENIZERS = os.environ.get("QUIRE_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
 
@@ -155,7 +157,7 @@ def encode(df: DataFrame, key: str, text: str = "text", path: str | None = None)
                 offsets = pa.Array.from_buffers(pa.int32(), len(ends), [None, pa.py_buffer(ends)])
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, ids)], [key, "ids"])
 
-    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
+    return spread(df.select(F.col(f"`{key}`"), F.col(f"`{text}`"))).mapInArrow(run, schema)
 
 
 def token_counts(df: DataFrame, key: str, text: str = "text", path: str | None = None) -> DataFrame:
@@ -169,4 +171,4 @@ def token_counts(df: DataFrame, key: str, text: str = "text", path: str | None =
             n = [own.count(s) if s else 0 for s in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], [key, "n_tokens"])
 
-    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
+    return spread(df.select(F.col(f"`{key}`"), F.col(f"`{text}`"))).mapInArrow(run, schema)
