@@ -49,3 +49,59 @@ def running(df: DataFrame, order: list[Column], value: Column | None = None) ->
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return rows.mapInArrow(run, f"{schema}, row_no bigint, total bigint")
+
+
+def previous_max(df: DataFrame, keys: list[str], order: list[Column], value: str) -> DataFrame:
+    """df with before_max: the greatest value among the earlier rows of the same key, null for the first.
+
+    Like running(): the order within a key is part of the range, so a key with any share of all rows is
+    spread over partitions; each goes on with the maximum that those before it end with. Null values
+    don't count; null keys are a key.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.to_json(F.struct(*(F.col(f"`{k}`") for k in keys)), {"ignoreNullFields": "false"})
+    rows = df.withColumn("__key", key).withColumn("__value", F.col(f"`{value}`").cast("bigint")).withColumn("__hash", F.xxhash64("__key"))
+    places = [F.col("__hash"), F.col("__key"), *order]
+    rows = rows.repartitionByRange(n, *places).sortWithinPartitions(*places).drop("__hash").checkpoint()
+    greater = lambda a, b: b if a is None else a if b is None else max(a, b)
+
+    def ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = most = part = None
+        for b in batches:
+            for k, v, p in zip(*(b.column(c).to_pylist() for c in range(3))):
+                if part is None:
+                    first, last, part = k, k, p
+                most = v if k != last else greater(most, v)
+                last = k
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first == last]), pa.array([first]), pa.array([last]), pa.array([most], pa.int64())], ["part", "same", "first", "last", "most"])
+
+    edge = rows.select("__key", "__value", F.spark_partition_id()).mapInArrow(ends, "part int, same boolean, first string, last string, most bigint").collect()
+    carried: dict[int, tuple[str, int | None]] = {}
+    before: tuple[str, int | None] | None = None
+    for r in sorted(edge, key=lambda r: r["part"]):
+        goes_on = before is not None and before[0] == r["first"]
+        if goes_on:
+            carried[r["part"]] = before
+        before = (r["last"], greater(before[1], r["most"]) if goes_on and r["same"] else r["most"])
+    names = [*df.columns, "before_max"]
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = most = None
+        started = False
+        for b in batches:
+            out = []
+            for k, v, p in zip(*(b.column(b.num_columns + c).to_pylist() for c in (-3, -2, -1))):
+                if not started:
+                    started = True
+                    last, most = carried.get(p, (k, None))
+                if k != last:
+                    last, most = k, None
+                out.append(most)
+                most = greater(most, v)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(out, pa.int64())], names)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return rows.withColumn("__part", F.spark_partition_id()).mapInArrow(scan, f"{schema}, before_max bigint")

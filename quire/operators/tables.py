@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import switch_title, title_key
-from quire.operators.ordered import running
+from quire.operators.ordered import previous_max, running
 
 BOOK = ["source_id", "book_id"]
 
@@ -114,8 +114,7 @@ def progress_latest(history: DataFrame, keys: list[str], arrival: str) -> DataFr
 
 def late_updates(history: DataFrame, keys: list[str], arrival: str) -> DataFrame:
     """Rows of the history that never were current: something newer had arrived before them."""
-    w = Window.partitionBy(*keys).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    return history.withColumn("__newest", F.max("updated_at").over(w)).filter("updated_at < __newest").drop("__newest")
+    return previous_max(history, keys, [F.asc(arrival)], "updated_at").filter("updated_at < before_max").drop("before_max")
 
 
 def neighbours(chapters: DataFrame, book: list[str], order: str, chapter: str) -> DataFrame:

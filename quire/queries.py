@@ -77,4 +77,26 @@ SQL: dict[str, str] = {
           SELECT *, CASE WHEN id IS NULL OR id = '' OR subscription_id IS NULL OR subscription_id = '' THEN 1
                     ELSE row_number() OVER (PARTITION BY subscription_id, id ORDER BY first_seen_at, delivery_id) END AS n
           FROM rss_entry) WHERE n = 1""",
+    "p5_found": """
+        WITH v AS (SELECT series_id, file_no, lag(file_no) OVER (PARTITION BY series_id ORDER BY first_at, file_no) AS prev_no
+                   FROM (SELECT series_id, file_no, min(exported_at) AS first_at FROM source_export GROUP BY 1, 2)),
+        c AS (SELECT series_id, file_no, json_extract_string(raw, '$.sourceId') AS rec, k AS field, json_extract(raw, '$.' || k)::VARCHAR AS val,
+                CASE json_type(raw, '$.' || k) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END AS kind
+              FROM (SELECT *, unnest(json_keys(raw)) AS k FROM source_export)),
+        f AS (SELECT DISTINCT series_id, file_no, field, kind FROM c WHERE kind IS NOT NULL),
+        j AS (SELECT coalesce(o.file_no, n.file_no) AS file_no, coalesce(o.prev_no, n.prev_no) AS prev_no, coalesce(o.series_id, n.series_id) AS series_id, coalesce(o.field, n.field) AS field, o.kind AS old_kind, n.kind AS new_kind
+              FROM (SELECT v.series_id, v.file_no, v.prev_no, f.field, f.kind FROM v JOIN f ON f.series_id = v.series_id AND f.file_no = v.prev_no) o
+              FULL JOIN (SELECT v.series_id, v.file_no, v.prev_no, f.field, f.kind FROM v JOIN f ON f.series_id = v.series_id AND f.file_no = v.file_no WHERE v.prev_no IS NOT NULL) n
+              ON o.file_no = n.file_no AND o.field = n.field),
+        r AS (SELECT DISTINCT series_id, file_no, rec FROM c),
+        b AS (SELECT v.series_id, v.file_no, v.prev_no, x.rec FROM v JOIN r x ON x.series_id = v.series_id AND x.file_no = v.file_no JOIN r y ON y.series_id = v.series_id AND y.file_no = v.prev_no AND y.rec = x.rec),
+        p AS (SELECT file_no, side, field, kind, proof, row_number() OVER (PARTITION BY file_no, side, kind, proof ORDER BY field) AS turn FROM (
+              SELECT j.file_no, CASE WHEN j.new_kind IS NULL THEN 'old' ELSE 'new' END AS side, j.field, coalesce(j.old_kind, j.new_kind) AS kind, string_agg(DISTINCT b.rec || '=' || c.val, '|' ORDER BY b.rec || '=' || c.val) AS proof
+              FROM j JOIN b ON b.file_no = j.file_no JOIN c ON c.series_id = j.series_id AND c.rec = b.rec AND c.field = j.field AND c.kind IS NOT NULL AND c.file_no = CASE WHEN j.new_kind IS NULL THEN j.prev_no ELSE j.file_no END
+              WHERE j.old_kind IS NULL OR j.new_kind IS NULL GROUP BY 1, 2, 3, 4)),
+        m AS (SELECT o.file_no, o.field AS old_field, n.field AS new_field FROM p o JOIN p n ON o.file_no = n.file_no AND o.kind = n.kind AND o.proof = n.proof AND o.turn = n.turn AND o.side = 'old' AND n.side = 'new')
+        SELECT file_no, 'renamed' AS change_kind, old_field, new_field FROM m
+        UNION ALL SELECT file_no, 'retyped', field, field FROM j WHERE old_kind <> new_kind
+        UNION ALL SELECT file_no, 'removed', field, '' FROM j WHERE new_kind IS NULL AND NOT EXISTS (SELECT 1 FROM m WHERE m.file_no = j.file_no AND m.old_field = j.field)
+        UNION ALL SELECT file_no, 'added', '', field FROM j WHERE old_kind IS NULL AND NOT EXISTS (SELECT 1 FROM m WHERE m.file_no = j.file_no AND m.new_field = j.field)""",
 }

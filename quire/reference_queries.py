@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import extract as X
 from quire.operators import merge as M
+from quire.operators import normalise as N
 from quire.operators import rollup as R
 from quire.operators import tables as E
 from quire.operators.slices import slices
 from quire.session import stage, table
 from quire.sources import books as B
+from quire.streaming.records import unread_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -606,15 +608,17 @@ def json_native(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get(X.json_field(F.col("props"), "k"), F.lit(0)).alias("k"))
 
 
-@query("""SELECT l_orderkey AS order_key, count(*) AS line_count, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS total, CAST(min(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS least, CAST(max(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS most, round(avg(CAST(l_quantity AS BIGINT)), 6) AS mean, count(*) FILTER (l_returnflag = 'R' AND l_quantity > 20) AS returned, count(*) FILTER (l_returnflag IN ('A', 'N')) AS kept FROM lineitem GROUP BY 1""")
+@query("""SELECT o_orderkey AS order_key, 3 AS line_count, CAST(o_custkey + o_orderkey % 50 + length(o_orderpriority) AS DOUBLE) AS total, CAST(least(o_custkey, o_orderkey % 50, length(o_orderpriority)) AS DOUBLE) AS least_q, CAST(greatest(o_custkey, o_orderkey % 50, length(o_orderpriority)) AS DOUBLE) AS most_q,
+    round((o_custkey + o_orderkey % 50 + length(o_orderpriority)) / 3.0, 6) AS mean, CAST(o_orderstatus = 'F' AND o_custkey > 200 AS INTEGER) AS big_f, CAST((o_orderstatus IN ('O', 'P')) AS INTEGER) + 2 AS kept FROM orders""")
 def json_aggregates(spark: SparkSession, d: str) -> DataFrame:
-    """Filters and aggregates of paths over the lines of each order as one JSON text."""
-    line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_quantity").cast("bigint").alias("q"), F.col("l_returnflag").alias("f"))
-    orders = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("order_key")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(line)).alias("lines"))).alias("j"))
-    rules = {"line_count": "$.lines.length()", "total": "$.lines[*].q.sum()", "least": "$.lines[*].q.min()", "most": "$.lines[*].q.max()", "mean": "$.lines[*].q.avg()", "returned": "$.lines[?(@.f == 'R' && @.q > 20)].p", "kept": "$.lines[?(@.f in ['A','N'])].p"}
-    found = X.extract(orders, "order_key", "j", rules)
+    """Filters and aggregates of paths over three entries of each order as a JSON text."""
+    o = table(spark, d, "orders")
+    line = lambda q, f: F.struct(q.cast("bigint").alias("q"), f.alias("f"))
+    lines = F.array(line(F.col("o_custkey"), F.col("o_orderstatus")), line(F.col("o_orderkey") % 50, F.lit("P")), line(F.length("o_orderpriority"), F.lit("O")))
+    rules = {"line_count": "$.lines.length()", "total": "$.lines[*].q.sum()", "least_q": "$.lines[*].q.min()", "most_q": "$.lines[*].q.max()", "mean": "$.lines[*].q.avg()", "big_f": "$.lines[?(@.f == 'F' && @.q > 200)].q", "kept": "$.lines[?(@.f in ['O','P'])].q"}
+    found = X.extract(o.select(F.col("o_orderkey").alias("order_key"), F.to_json(F.struct(lines.alias("lines"))).alias("j")), "order_key", "j", rules)
     number = lambda c: F.get(c, F.lit(0)).cast("double")
-    return found.select("order_key", F.get("line_count", F.lit(0)).cast("bigint").alias("line_count"), *(number(c).alias(c) for c in ("total", "least", "most")), F.round(number("mean"), 6).alias("mean"), *(F.size(c).cast("bigint").alias(c) for c in ("returned", "kept")))
+    return found.select("order_key", F.get("line_count", F.lit(0)).cast("int").alias("line_count"), *(number(c).alias(c) for c in ("total", "least_q", "most_q")), F.round(number("mean"), 6).alias("mean"), *(F.size(c).alias(c) for c in ("big_f", "kept")))
 
 
 @query(r"""SELECT rec_id, field, CASE WHEN regexp_matches(rule, '^(?i)(@css:|@@)') THEN 'css' WHEN regexp_matches(rule, '^(?i)@xpath:') THEN 'xpath' WHEN regexp_matches(rule, '^(?i)@json:') OR rule LIKE '$.%' OR rule LIKE '$[%' THEN 'json' WHEN rule LIKE '/%' THEN 'xpath' ELSE 'css' END AS mode
@@ -699,3 +703,47 @@ def page_walk(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("series_id").orderBy("at", "file_no")
     f = stage(f.select(F.col("series_id").alias("key"), F.col("file_no").cast("string").alias("url"), F.lead("file_no").over(w).cast("string").alias("next_url"), F.row_number().over(w).alias("n")), "page-links")
     return X.follow_pages(f.filter("n = 1").select("key", "url"), f.select("url", "next_url"))
+
+
+# ---- normalisation in Python stages ---------------------------------------------------------------
+
+
+@query(r"""SELECT doc_id, md5(x) AS digest, CAST(length(x) AS INTEGER) AS n_chars FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(t), '\A\x{FEFF}', ''), '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '\A\n+|\n+\z', '', 'g') AS x FROM """ + DIRTY + ")")
+def text_unicode_form(spark: SparkSession, d: str) -> DataFrame:
+    """The composed form of all documents, with marks, line ends and empty lines put in order."""
+    n = N.normalise_texts(dirty(spark, d), "doc_id", "t", form="NFC")
+    return n.select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("digest"), "n_chars")
+
+
+@query()
+def chapter_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Commits as chapters of their repository, under the first line of their message."""
+    t = table(spark, d, "documents").select("doc_id", "repo", F.substring_index("text", "\n", 1).alias("title"), "text")
+    return N.chapter_documents(t, "doc_id", "repo", "title", "text").select("doc_id", F.size("paragraphs").alias("paragraphs"), "char_len", "fingerprint", "valid")
+
+
+@query()
+def codec_hmac(spark: SparkSession, d: str) -> DataFrame:
+    return N.keyed_digest(table(spark, d, "corpus_source"), "rec_id", "bookSourceName", "key")
+
+
+@query(r"""WITH f AS (SELECT rec_id, form, enabled, bookSourceType FROM (SELECT rec_id, enabled, bookSourceType, unnest(list_filter([CASE WHEN regexp_matches(r, '"//') THEN 'xpath' END, CASE WHEN regexp_matches(r, '\$\.') THEN 'json' END, CASE WHEN regexp_matches(r, '##') THEN 'regex' END], lambda x: x IS NOT NULL)) AS form FROM (SELECT rec_id, enabled, bookSourceType, concat_ws(' ', ruleSearch, ruleBookInfo, ruleToc, ruleContent, ruleExplore) AS r FROM corpus_source)))
+    SELECT form, count(*) AS sources, count(*) FILTER (enabled) AS enabled_sources, count(DISTINCT bookSourceType) AS types FROM f GROUP BY 1""")
+def rule_form_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many sources use each form of rule."""
+    labels = {k: LABELS[k] for k in ("xpath", "json", "regex")}
+    r = F.concat_ws(" ", "ruleSearch", "ruleBookInfo", "ruleToc", "ruleContent", "ruleExplore")
+    f = table(spark, d, "corpus_source").select("enabled", "bookSourceType", F.explode(R.classify(r, labels)).alias("form"))
+    return f.groupBy("form").agg(F.count("*").alias("sources"), F.count_if("enabled").alias("enabled_sources"), F.countDistinct("bookSourceType").alias("types"))
+
+
+@query("""SELECT subscription_id, count(*) AS entries, count(*) FILTER (NOT coalesce(e.read_flag, FALSE)) AS unread FROM (SELECT subscription_id, summary IS NOT NULL AS read_flag FROM rss_entry) e GROUP BY 1""")
+def feed_unread(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "rss_entry").select("subscription_id", F.col("summary").isNotNull().alias("read"))
+    return unread_counts(e, "subscription_id")
+
+
+@query("""SELECT rec_id, (SELECT string_agg(k || '=' || v, '&' ORDER BY k) FROM (VALUES ('name', bookSourceName), ('type', CAST(bookSourceType AS VARCHAR)), ('url', bookSourceUrl)) p(k, v) WHERE v IS NOT NULL AND v <> '') AS payload FROM corpus_source""")
+def codec_sign(spark: SparkSession, d: str) -> DataFrame:
+    m = F.create_map(F.lit("url"), F.col("bookSourceUrl"), F.lit("name"), F.col("bookSourceName"), F.lit("type"), F.col("bookSourceType").cast("string"))
+    return table(spark, d, "corpus_source").select("rec_id", T.sign_payload(m).alias("payload"))

@@ -9,7 +9,7 @@ from quire.functions import text as T
 from quire.operators import merge as M
 from quire.operators import rollup as R
 from quire.operators import tables as E
-from quire.operators.ordered import running
+from quire.operators.ordered import previous_max, running
 from quire.operators.slices import slices
 
 
@@ -25,6 +25,23 @@ def test_running_over_partitions(spark):
     assert running(df.limit(0), [F.asc("k")]).count() == 0
 
 
+def test_previous_max_over_partitions(spark):
+    rng = random.Random(6)
+    data = [(rng.choice(["hot", "hot", "a", None, "b"]), i, rng.choice([None, *range(50)])) for i in range(1500)]
+    df = spark.createDataFrame(data, "k string, n bigint, v bigint").repartition(5)
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = {r.n: r.before_max for r in previous_max(df, ["k"], [F.asc("n")], "v").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    most = {}
+    for k, n, v in data:
+        assert got[n] == most.get(k), n
+        if v is not None:
+            most[k] = max(most.get(k, v), v)
+    assert previous_max(df.limit(0), ["k"], [F.asc("n")], "v").count() == 0
+
+
 def test_prune_is_the_greedy_loop(spark):
     rng = random.Random(4)
     rows = [("s", str(rng.randrange(5)), i, "x" * rng.randrange(9), rng.randrange(50)) for i in range(300)]
