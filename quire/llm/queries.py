@@ -79,4 +79,45 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (p2_found, p2_records, p4_found, p4_terms, p6_found, p6_copies, p8_ids, p9_packed, p10_found, p10_clean)
 }
-SQL: dict[str, str] = {}
+
+_BLANK = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def _filled(c: str) -> str:
+    return f"coalesce(length(regexp_replace({c}, '{_BLANK}+', '', 'g')) > 0, FALSE)"
+
+
+_WIDE, _NARROW = consensus.WIDE.replace("'", "''"), consensus.NARROW.replace("'", "''")
+#: Host and path of a URL, and the instant that a number states, as in the operators.
+_BEST = f"""
+    WITH a AS (SELECT rec_id, bookSourceUrl, lastUpdateTime, respondTime, exploreUrl, bookSourceComment, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(translate(bookSourceUrl, '{_WIDE}', '{_NARROW}')), '{_BLANK}+', '', 'g'), '^[a-z][a-z0-9+.-]*:/+|^/+', ''), '[?#].*', ''), '/+', '/', 'g') AS u,
+      CASE WHEN lastUpdateTime >= 1420070400 AND lastUpdateTime < 1830297600 THEN lastUpdateTime * 1000 WHEN lastUpdateTime >= 1420070400000 AND lastUpdateTime < 1830297600000 THEN lastUpdateTime
+        WHEN lastUpdateTime // 1000 >= 1420070400000 AND lastUpdateTime // 1000 < 1830297600000 THEN lastUpdateTime // 1000 WHEN lastUpdateTime // 1000000 >= 1420070400000 AND lastUpdateTime // 1000000 < 1830297600000 THEN lastUpdateTime // 1000000
+        WHEN length(CAST(lastUpdateTime AS VARCHAR)) = 14 THEN epoch_ms(try_strptime(CAST(lastUpdateTime AS VARCHAR), '%Y%m%d%H%M%S')) END AS inst FROM corpus_source),
+    g AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(split_part(u, '/', 1), '^[^@]*@', ''), ':[0-9]*$', ''), '^www[.]', '') AS host, regexp_replace(regexp_extract(u, '^[^/]*(/.*)$', 1), '/$', '') AS path,
+      CASE WHEN inst >= 1420070400000 AND inst < 1830297600000 THEN inst END AS ms FROM a),
+    s AS (SELECT *, host || path AS site, min(rec_id) OVER w AS first_id, count(*) OVER w AS n FROM g WHERE host <> '' WINDOW w AS (PARTITION BY host || path)),
+    k AS (SELECT *, CAST(ok1 AS INT) + CAST(ok2 AS INT) + CAST(ok3 AS INT) + CAST(ok4 AS INT) + CAST(ok5 AS INT) AS n_full FROM (SELECT *, {_filled("bookSourceUrl")} AS ok1, ms IS NOT NULL AS ok2, coalesce(respondTime > 0, FALSE) AS ok3, {_filled("exploreUrl")} AS ok4, {_filled("bookSourceComment")} AS ok5 FROM s WHERE n > 1)),
+    x AS (SELECT first_id, rec_id, ms, n_full, unnest(['bookSourceUrl', 'lastUpdateTime', 'respondTime', 'exploreUrl', 'bookSourceComment']) AS field_name, unnest([ok1, ok2, ok3, ok4, ok5]) AS ok, unnest([bookSourceUrl, CAST(lastUpdateTime AS VARCHAR), CAST(respondTime AS VARCHAR), exploreUrl, bookSourceComment]) AS val FROM k),
+    w AS (SELECT *, row_number() OVER (PARTITION BY first_id, field_name ORDER BY ms DESC NULLS LAST, n_full DESC, rec_id) AS rn FROM x WHERE ok)"""
+SQL: dict[str, str] = {
+    "p2_found": _BEST + " SELECT first_id, field_name, rec_id AS from_id FROM w WHERE rn = 1",
+    "p2_records": _BEST + " SELECT first_id, " + ", ".join(f"max(CASE WHEN field_name = '{f}' THEN val END) AS {f}" for f in FIELDS) + " FROM w WHERE rn = 1 GROUP BY 1",
+}
+
+_SEP = r",，、､;；|｜/／&＆\t\n\x{0B}\x{0C}\r\x{85}\x{2028}\x{2029}"
+_GAP = r" \x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
+_CUT = rf"^[{_GAP}\s\x{{0B}}\x{{85}}]+|[{_GAP}\s\x{{0B}}\x{{85}}]+$"
+_TERMS = f"""
+    WITH a AS (SELECT rec_id, bookSourceGroup AS g, regexp_matches(regexp_replace(bookSourceGroup, '"[^"]*"|“[^”]*”', '', 'g'), '[{_SEP}]') AS marked FROM corpus_source),
+    b AS (SELECT rec_id, unnest(CASE WHEN marked THEN regexp_extract_all(g, '(?:"[^"]*"|“[^”]*”|[^{_SEP}"“])+') ELSE regexp_extract_all(g, '(?:"[^"]*"|“[^”]*”|[^{_SEP}{_GAP}"“])+') END) AS i FROM a),
+    c AS (SELECT rec_id, regexp_replace(i, '{_CUT}', '', 'g') AS i FROM b),
+    e AS (SELECT rec_id, regexp_replace(CASE WHEN regexp_full_match(i, '"(?:[^"]|"")*"') THEN replace(i[2:-2], '""', '"') WHEN regexp_full_match(i, '“[^“”]*”') THEN i[2:-2] ELSE i END, '{_CUT}', '', 'g') AS i FROM c),
+    t AS (SELECT rec_id, 'bookSourceGroup' AS field_name, nfc_normalize(lower(translate(i, '{_WIDE}', '{_NARROW}'))) AS term FROM e WHERE i <> ''
+      UNION ALL SELECT rec_id, 'bookSourceType', CAST(bookSourceType AS VARCHAR) FROM corpus_source WHERE bookSourceType IS NOT NULL),
+    f AS (SELECT field_name, term, count(*) AS occurrences, count(DISTINCT rec_id) AS records FROM t GROUP BY 1, 2),
+    m AS (SELECT *, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.2 * (SELECT count(*) FROM corpus_source) THEN 'common' END AS mark FROM f)"""
+SQL |= {
+    "p4_terms": _TERMS + " SELECT field_name, term, occurrences, records, mark FROM m",
+    "p4_found": _TERMS + " SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
+}
