@@ -747,3 +747,152 @@ def feed_unread(spark: SparkSession, d: str) -> DataFrame:
 def codec_sign(spark: SparkSession, d: str) -> DataFrame:
     m = F.create_map(F.lit("url"), F.col("bookSourceUrl"), F.lit("name"), F.col("bookSourceName"), F.lit("type"), F.col("bookSourceType").cast("string"))
     return table(spark, d, "corpus_source").select("rec_id", T.sign_payload(m).alias("payload"))
+
+
+# ---- more of the rule engine ---------------------------------------------------------------------
+
+_H = "regexp_extract(response_body, '<h1>([^<]*)</h1>', 1)"
+_P = "regexp_extract(response_body, '<p>([^<]*)</p>', 1)"
+_RECORDED = "recorded_step WHERE response_body LIKE '<html><h1>%'"
+
+
+def _pages_by_rules(spark: SparkSession, d: str, rules: dict) -> DataFrame:
+    recorded = table(spark, d, "recorded_step").filter("response_body like '<html><h1>%'")
+    return X.extract(recorded, "step_id", "response_body", rules).select("step_id", *(F.array_join(c, "|").alias(c) for c in rules))
+
+
+@query(f"""SELECT step_id, {_H} AS either, {_H} || '|' || {_P} AS both_parts, {_P} || '|' || {_H} AS mixed FROM {_RECORDED}""")
+def rule_combinators(spark: SparkSession, d: str) -> DataFrame:
+    """The first branch with a result, all branches, and branches in turn."""
+    return _pages_by_rules(spark, d, {"either": "tag.h2@text||tag.h1@text||tag.p@text", "both_parts": "tag.h1@text&&tag.p@text", "mixed": "tag.p@text%%tag.h1@text"})
+
+
+@query(f"""SELECT step_id, regexp_replace({_P}, '[aeiou]+', '-', 'g') AS every, regexp_extract({_P}, '^(\\w)', 1) || '!' AS first_only, '' AS no_match, replace({_P}, '(', 'x') AS literal FROM {_RECORDED}""")
+def rule_suffixes(spark: SparkSession, d: str) -> DataFrame:
+    """What follows ##: every match, the first match alone, no match, and a pattern that isn't one."""
+    return _pages_by_rules(spark, d, {"every": "tag.p@text##[aeiou]+##-", "first_only": "tag.p@text##^(\\w)##$1!###", "no_match": "tag.p@text##[0-9]{9}##x###", "literal": "tag.p@text##(##x"})
+
+
+@query(f"""SELECT step_id, {_H} AS saved, upper({_P}) AS scripted, '' AS unsupported, {_P} AS chained FROM {_RECORDED}""")
+def rule_variables(spark: SparkSession, d: str) -> DataFrame:
+    """A value put aside and taken again, a named function, a script without one, and a step chain."""
+    chain = [{"kind": "css", "selector": "p"}, {"kind": "regexExtract", "pattern": r"^(.+)$", "group": 1, "first": True}, {"kind": "fallback", "values": ["none"]}]
+    saved = "@put:{\"h\":\"//h1/text()\"}//h1[.='@get:{h}']/text()"
+    rules = {"saved": saved, "scripted": "tag.p@text<js>upper</js>", "unsupported": "tag.p@text@js:java.ajax(result)", "chained": chain}
+    return _pages_by_rules(spark, d, rules)
+
+
+@query(f"""SELECT step_id, {_P} AS by_contains, {_H} AS by_place, {_P} AS by_next, {_P} AS by_not, '' AS out_of_range, '<p>' || {_P} || '</p>' AS outer_html FROM {_RECORDED}""")
+def css_filters(spark: SparkSession, d: str) -> DataFrame:
+    """Selectors with filters by text, by place among those found, by neighbour and by negation."""
+    return _pages_by_rules(spark, d, {"by_contains": "p:contains( )@text", "by_place": "h1:eq(0)@text", "by_next": "h1 + p@text", "by_not": "html > :not(h1)@text", "out_of_range": "tag.p.5@text", "outer_html": "tag.p@html"})
+
+
+@query(f"""SELECT step_id, {_H} AS by_place, {_P} AS by_sibling, '1' AS counted, {_P} AS by_function, {_H} || '|' || {_P} AS united FROM {_RECORDED}""")
+def xpath_pages(spark: SparkSession, d: str) -> DataFrame:
+    return _pages_by_rules(spark, d, {"by_place": "//h1[1]/text()", "by_sibling": "//h1/following-sibling::p/text()", "counted": "@XPath:count(//p)", "by_function": "@XPath:normalize-space(//p)", "united": "//h1/text() | //p/text()"})
+
+
+@query("""SELECT export_id, CAST(len(json_keys(raw)) AS VARCHAR) AS n_fields, CAST(length(json_extract_string(raw, '$.bookSourceName')) AS VARCHAR) AS name_length, json_extract_string(raw, '$.bookSourceName') || '/' || json_extract_string(raw, '$.sourceId') AS joined, json_extract_string(raw, '$.sourceId') || ' (id)' AS templated, '' AS missing FROM source_export""")
+def json_functions(spark: SparkSession, d: str) -> DataFrame:
+    rules = {"n_fields": "$.length()", "name_length": "$.bookSourceName.length()", "joined": "$.bookSourceName.concat('/', $.sourceId)", "templated": "{$.sourceId} (id)", "missing": "$.a.b[3]..c"}
+    found = X.extract(table(spark, d, "source_export"), "export_id", "raw", {k: [{"kind": "jsonPath", "path": v}] if k == "templated" else v for k, v in rules.items()})
+    return found.select("export_id", *(F.array_join(c, "|").alias(c) for c in rules))
+
+
+@query(r"""SELECT rec_id, CASE WHEN s = '' THEN NULL ELSE s END AS slug FROM (SELECT rec_id, regexp_replace(regexp_replace(lower(bookSourceName), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM corpus_source)""")
+def text_slug(spark: SparkSession, d: str) -> DataFrame:
+    """Slugs of names; where a fingerprint stands in for one, null here."""
+    s = T.slug(F.col("bookSourceName"))
+    return table(spark, d, "corpus_source").select("rec_id", F.when(s == T.fnv1a64(F.col("bookSourceName")), F.lit(None)).otherwise(s).alias("slug"))
+
+
+@query("""SELECT rec_id, coalesce(o.title, b.title) AS title, coalesce(o.url, b.url) AS url FROM (SELECT rec_id, bookSourceName AS title, bookSourceUrl AS url FROM corpus_source) b LEFT JOIN (SELECT rec_id, CASE WHEN rec_id % 2 = 0 THEN upper(bookSourceName) END AS title, bookSourceComment AS url FROM corpus_source) o USING (rec_id)""")
+def detail_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of a base row overwritten where a second page had a value."""
+    s = table(spark, d, "corpus_source")
+    base = s.select("rec_id", F.col("bookSourceName").alias("title"), F.col("bookSourceUrl").alias("url"))
+    found = s.select("rec_id", F.when(F.col("rec_id") % 2 == 0, F.upper("bookSourceName")).alias("title"), F.col("bookSourceComment").alias("url"))
+    return X.merge_fields(base, found, "rec_id", ["title", "url"])
+
+
+@query("""SELECT delivery_id, CAST(i AS INTEGER) AS pair_index, v[2 * i + 1] AS title, v[2 * i + 2] AS url FROM (SELECT delivery_id, v, unnest(range(len(v) // 2)) AS i FROM (SELECT delivery_id, list_filter([title, link, summary, published_at, author], lambda x: x IS NOT NULL) AS v FROM rss_subscription_item))""")
+def toc_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Flat lists of title and url as numbered pairs; an odd last value is dropped."""
+    v = F.filter(F.array("title", "link", "summary", "published_at", "author"), lambda x: x.isNotNull())
+    p = table(spark, d, "rss_subscription_item").select("delivery_id", F.explode(X.flat_pairs(v)).alias("p"))
+    return p.select("delivery_id", F.col("p.index").alias("pair_index"), F.col("p.title").alias("title"), F.col("p.url").alias("url"))
+
+
+# ---- more of the tables ---------------------------------------------------------------------------
+
+
+@query("""SELECT rec_id, CASE WHEN lower(regexp_extract(u, '[.]([A-Za-z0-9]+)$', 1)) <> '' THEN lower(regexp_extract(u, '[.]([A-Za-z0-9]+)$', 1)) END AS ext FROM (SELECT delivery_id AS rec_id, regexp_replace(link, '[?#].*$', '') AS u FROM rss_entry WHERE link IS NOT NULL) WHERE regexp_matches(u, '[.][A-Za-z0-9]+$')""")
+def link_extension(spark: SparkSession, d: str) -> DataFrame:
+    u = F.regexp_replace("link", r"[?#].*$", "")
+    return table(spark, d, "rss_entry").filter("link is not null").select(F.col("delivery_id").alias("rec_id"), u.alias("u")).filter(F.col("u").rlike(r"[.][A-Za-z0-9]+$")).select("rec_id", T.extension(F.regexp_extract("u", r"([^.]*\.[A-Za-z0-9]+)$", 1)).alias("ext"))
+
+
+@query("""SELECT subscription_id, min(first_seen_at) AS first_seen, max(first_seen_at) AS last_seen, count(DISTINCT id) AS ids, count(*) - count(id) AS without_id FROM rss_entry GROUP BY 1""")
+def feed_state(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "rss_entry").groupBy("subscription_id").agg(F.min("first_seen_at").alias("first_seen"), F.max("first_seen_at").alias("last_seen"), F.countDistinct("id").alias("ids"), (F.count("*") - F.count("id")).alias("without_id"))
+
+
+@query("""SELECT e.delivery_id FROM rss_entry e WHERE NOT EXISTS (SELECT 1 FROM rss_entry k WHERE k.subscription_id = e.subscription_id AND k.id = e.id AND k.batch_id < e.batch_id)""")
+def feed_new_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries of the batch in which their entry first came: a refresh of every batch against those before."""
+    e = table(spark, d, "rss_entry").select("delivery_id", "subscription_id", "id", "batch_id")
+    first = e.filter("id is not null").groupBy("subscription_id", "id").agg(F.min("batch_id").alias("first_batch"))
+    return e.join(first, ["subscription_id", "id"], "left").filter("first_batch is null or batch_id = first_batch").select("delivery_id")
+
+
+@query("""SELECT o.o_orderkey AS book_key, o.o_orderpriority AS source_id, coalesce(c.n, 0) AS cached, 3 + o.o_custkey % 6 AS total, round(coalesce(c.n, 0) / (3 + o.o_custkey % 6), 6) AS share FROM orders o LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1) c ON c.l_orderkey = o.o_orderkey""")
+def cache_ratio(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.countDistinct("l_linenumber").alias("n"))
+    total = 3 + F.col("o_custkey") % 6
+    cached = F.coalesce("n", F.lit(0))
+    return table(spark, d, "orders").join(n, "o_orderkey", "left").select(F.col("o_orderkey").alias("book_key"), F.col("o_orderpriority").alias("source_id"), cached.alias("cached"), total.alias("total"), F.round(cached / total, 6).alias("share"))
+
+
+@query(f"""WITH {_VERSION} SELECT n.file_no, count(*) AS entries, count(*) FILTER (o.url IS NULL) AS added FROM neu n LEFT JOIN (SELECT DISTINCT file_no, url FROM old) o ON o.file_no = n.file_no AND o.url = n.url GROUP BY 1""")
+def update_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Per file how many entries it has and how many the file before had not."""
+    old, new = versions(spark, d)
+    o = old.select("file_no", "url").distinct().withColumn("known", F.lit(True))
+    return new.join(o, ["file_no", "url"], "left").groupBy("file_no").agg(F.count("*").alias("entries"), F.count_if(F.col("known").isNull()).alias("added"))
+
+
+@query("""SELECT source_id, level, count(*) AS steps, count(*) FILTER (response_status = 200) AS passed, count(DISTINCT url) AS urls, max(response_status) AS worst FROM recorded_step GROUP BY 1, 2""")
+def run_steps(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "recorded_step").groupBy("source_id", "level").agg(F.count("*").alias("steps"), F.count_if(F.col("response_status") == 200).alias("passed"), F.countDistinct("url").alias("urls"), F.max("response_status").alias("worst"))
+
+
+@query("""SELECT s.sourceId AS source_id FROM corpus_source s WHERE NOT EXISTS (SELECT 1 FROM recorded_step r WHERE r.source_id = s.sourceId)""")
+def run_missing_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Sources without a recorded run."""
+    r = table(spark, d, "recorded_step").select(F.col("source_id"))
+    return table(spark, d, "corpus_source").select(F.col("sourceId").alias("source_id")).join(r, "source_id", "left_anti")
+
+
+@query("""SELECT CASE WHEN response_status = 200 THEN 'ok' WHEN response_status = 404 THEN 'missing' WHEN response_status BETWEEN 300 AND 399 THEN 'moved' WHEN response_status BETWEEN 400 AND 499 THEN 'refused' ELSE 'failed' END AS reason, level, count(*) AS steps FROM recorded_step GROUP BY 1, 2""")
+def run_reasons(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("response_status")
+    reason = F.when(s == 200, "ok").when(s == 404, "missing").when(s.between(300, 399), "moved").when(s.between(400, 499), "refused").otherwise("failed")
+    return table(spark, d, "recorded_step").groupBy(reason.alias("reason"), "level").agg(F.count("*").alias("steps"))
+
+
+@query(r"""SELECT doc_id, CAST(count(*) FILTER (regexp_matches(l, '^第[0-9]+章|^(?i)chapter\s')) AS INTEGER) AS headings FROM (SELECT doc_id, unnest(string_split(CASE WHEN doc_id % 2 = 0 THEN '第' || doc_id || '章 x' || chr(10) || 'body' ELSE 'no' END, chr(10))) AS l FROM documents) GROUP BY 1""")
+def chapters_by_heading(spark: SparkSession, d: str) -> DataFrame:
+    """Usual headings recognised in texts written from every document's number."""
+    n = F.col("doc_id").cast("string")
+    t = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("第"), n, F.lit("章 x\nbody"))).otherwise("no").alias("t"))
+    c = B.chapters(t, "doc_id", "t")
+    return c.groupBy("doc_id").agg(F.count_if(F.col("chapter_title") != "正文").cast("int").alias("headings"))
+
+
+@query("""SELECT doc_id, '第' || doc_id || '章' AS chapter_title FROM documents""")
+def chapters_renumbered(spark: SparkSession, d: str) -> DataFrame:
+    """Numerals of either script in headings as digits."""
+    digits = F.translate(F.col("doc_id").cast("string"), "0123456789", "零一二三四五六七八九")
+    t = table(spark, d, "documents").select("doc_id", F.concat(F.lit("第"), digits, F.lit("章\nbody")).alias("t"))
+    return B.chapters(t, "doc_id", "t", renumber=True).select("doc_id", "chapter_title")
