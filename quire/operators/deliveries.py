@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import free_name
+
 
 def identified(df: DataFrame, keys: list[str]) -> Column:
     """Whether every part of the identifier is there; null and empty ones identify nothing."""
@@ -22,7 +24,8 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     order must end in a unique column; nulls in it come last.
     """
     first = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(*[F.asc_nulls_last(f"`{c}`") for c in order])
-    return df.filter(identified(df, keys)).withColumn("__rank", F.row_number().over(first)).filter("__rank = 1").drop("__rank")
+    rank = free_name(df, "__rank")
+    return df.filter(identified(df, keys)).withColumn(rank, F.row_number().over(first)).filter(F.col(rank) == 1).drop(rank)
 
 
 def repeats(df: DataFrame, keys: list[str], order: list[str], unique: str) -> DataFrame:

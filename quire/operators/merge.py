@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import identity, utrim
 from quire.operators.tables import latest
+from quire.session import free_name
 
 KEY = ["collection", "record_id"]
 VALUES = ["updated_at", "deleted", "revision", "device_id", "payload"]
@@ -76,7 +77,8 @@ def merge(local: DataFrame, remote: DataFrame, policy: str = "latest", devices:
 
 
 def newest_per_group(df: DataFrame, group: list[str], order: list[Column], most: int) -> DataFrame:
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("__n") <= most).drop("__n")
+    n = free_name(df, "__n")
+    return df.withColumn(n, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col(n) <= most).drop(n)
 
 
 def merge_progress(records: DataFrame, most_per_book: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import switch_title, title_key
 from quire.operators.ordered import previous_max, running
+from quire.session import free_name
 
 BOOK = ["source_id", "book_id"]
 
@@ -14,7 +15,8 @@ BOOK = ["source_id", "book_id"]
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the first in order: an upsert where the last one wins. Only the best row of a
     key leaves each map task."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
+    n = free_name(df, "__n")
+    return df.withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(n) == 1).drop(n)
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str], arrival: str) -> DataFrame:

@@ -79,3 +79,11 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     few = df._jdf.queryExecution().toRdd().getNumPartitions() < cores
     return df.repartition(cores) if few else df
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """wanted, or the next name like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
