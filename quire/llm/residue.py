@@ -58,7 +58,7 @@ PHRASES = {
     ],
     "filler": [
         "content coming soon", "coming soon", "text to follow", "body to be supplied", "to be supplied", "sample text goes here", "text goes here", "this is a placeholder", "placeholder text", "it will be replaced later", "filler text", "dummy text", "to be announced", "to be written",
-        "inhalt folgt", "text folgt", "dies ist ein blindtext", "blindtext ohne inhalt", "blindtext", "ohne inhalt", "contenu à venir", "texte à venir", "texte fictif", "contenido próximamente", "texto de relleno", "texto de ejemplo", "conteúdo em breve", "texto de exemplo",
+        "inhalt folgt", "text folgt", "dies ist ein blindtext", "blindtext ohne inhalt", "blindtext", "platzhaltertext", "ohne inhalt", "contenu à venir", "texte à venir", "texte fictif", "contenido próximamente", "texto de relleno", "texto de ejemplo", "conteúdo em breve", "texto de exemplo",
         "占位文本", "占位符", "示例文本", "内容待补充", "敬请期待", "ダミーテキスト", "準備中",
     ],
     "latin": (
@@ -82,7 +82,10 @@ PLACEHOLDER = re.compile(
     rf"|(?<![\w$])\$(?i:{_NAME})(?![\w({{])|(?<![{{\w$#%])\{{(?i:{_NAME})\}}(?!\}})|(?<![\w])<(?i:{_NAME})>(?!.*</)|(?<![\[\w])\[(?i:{_NAME})\](?![\](])"
 )
 QUOTED = re.compile(r"`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”")
-REPEATED = re.compile(r"\W*(?:(?P<t>test(?:ing)?|blah?|foo|xxx)(?:[\s,]+(?P=t)){2,}(?:\s+\d+)*|(?P<l>[^\W\d_])(?P=l){5,}|(?:[xX]{3,}\s*){2,})\W*", re.I)
+#: A word or two, or a letter, again and again; test twice more is enough with a count behind it.
+REPEATED = re.compile(r"\W*(?:(?P<w>\w+(?: \w+)?)(?:[\s,.;，、]+(?P=w)){2,}(?:[\s,]+\d+)*|(?P<l>[^\W\d_])(?P=l){5,}|(?:[xX]{3,}\s*){2,})\W*", re.I)
+#: One mark again and again: filler wherever it stands, or only as the subject, as some draw lines.
+MARKS, RULES = re.compile(r"([?…!])\1{5,}"), re.compile(r"([-=*_.#~/])\1{5,}")
 TAG = re.compile(r"<[^<>]{1,200}>")
 
 _DIFF = re.compile(r"^diff --git ", re.M)
@@ -95,6 +98,9 @@ _LOOSE = re.compile(
 _STATUS = re.compile(r"(?:[45]\d\d\W{1,3}|\")$")
 
 
+NAMED = {"latin": "filler", "keys": "filler", "trace": "error"}
+
+
 @lru_cache(1)
 def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
@@ -144,15 +150,21 @@ def found(line: str) -> str | None:
 
 
 def residue(text: str | None) -> str | None:
-    """placeholder, prompt, filler, error, scripts or trace if such text stands in the place of content; else None."""
+    """placeholder, prompt, filler, error or scripts if such text stands in the place of content; else None."""
     if not text:
         return None
     cut = _DIFF.search(text)
     head, diff = (text[: cut.start()], text[cut.start() :]) if cut else (text, "")
     structured = bool(cut)
     kinds: list[str] = []
-    for raw in head.splitlines():
+    subject = True  # whether it is still to come
+    for raw in head.removeprefix("\ufeff").splitlines():
         line = raw.strip()
+        if line.startswith("Subject:"):
+            line = line[8:].strip().removeprefix("[PATCH]").strip()
+            subject = True
+        if MARKS.fullmatch(line) or subject and RULES.fullmatch(line):
+            return "filler"
         if not line or _HEADER.fullmatch(line):
             structured |= bool(line) and line[0].isalpha()
             continue
@@ -161,10 +173,7 @@ def residue(text: str | None) -> str | None:
             if PLACEHOLDER.search(m["a"] or m["b"] or m["c"] or ""):
                 return "placeholder"
             continue
-        if line.startswith("Subject:"):
-            line = line[8:].strip().removeprefix("[PATCH]").strip()
-            if not line:
-                continue
+        subject = False
         if PLACEHOLDER.search(line) and PLACEHOLDER.search(QUOTED.sub(" ", line)):
             return "placeholder"
         if REPEATED.fullmatch(line):
@@ -177,10 +186,10 @@ def residue(text: str | None) -> str | None:
         for m in _LOOSE.finditer(diff):
             line = m[0].strip()
             if kind := found(line):
-                return "filler" if kind in ("latin", "keys") else kind
+                return NAMED.get(kind, kind)
             if len(line) < 400 and PLACEHOLDER.fullmatch(line):
                 return "placeholder"
-    return {"latin": "filler", "keys": "filler", "trace": "error"}.get(kinds[0], kinds[0]) if kinds else None
+    return NAMED.get(kinds[0], kinds[0]) if kinds else None
 
 
 def find_residue(df: DataFrame, key: str, text: str = "text") -> DataFrame:

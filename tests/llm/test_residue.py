@@ -27,6 +27,14 @@ def commit(*message, line="c", end=""):
         (commit("test test test"), "filler"),
         (commit("testing testing testing 1 2 3"), "filler"),
         (commit("XXXXXXXXXXXXXX"), "filler"),
+        (commit("yada yada yada"), "filler"),
+        (commit("foo bar foo bar foo bar"), "filler"),
+        (commit("Platzhaltertext Platzhaltertext"), "filler"),
+        (commit("????????????"), "filler"),
+        (commit("---------------"), "filler"),
+        ("\ufeff0123456789ab\t{author}\t2024-01-01T00:00:00Z\nFix x\n", "placeholder"),
+        (commit("Fix x", "", "----------", "More words here"), None),
+        (commit("Fix fix of the fix"), None),
         (commit("Content coming soon", "", "Inhalt folgt."), "filler"),
         (commit("Fix x", end="Sorry, this diff could not be loaded. Reload to try again.\n"), "error"),
         (commit("Fix x", end="<noscript>You need to enable JavaScript to run this app.</noscript>\n"), "scripts"),
