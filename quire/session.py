@@ -40,21 +40,18 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+    """The folder all executors share: the context's checkpoint folder, which lies in the one that
+    spark.checkpoint.dir names unless the caller set another.
 
     Only a local session without either gets a folder of its own; elsewhere its absence is an error,
     because a folder of one machine is lost with that machine.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(named)
-        return named
     if not sc.getCheckpointDir():
-        if not sc.master.startswith("local"):
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-"))
     return sc.getCheckpointDir()
 
 
