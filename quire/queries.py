@@ -42,11 +42,24 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
     export = table(spark, d, "source_export")
-    return drift.consistent_table(export, drift.schema_changes(export), ["export_id", "series_id", "file_no", "line_no"])
+    out = drift.consistent_table(export, drift.schema_changes(export), ["export_id", "series_id", "file_no", "line_no"])
+    return out.withColumn("unfit", F.to_json("unfit"))
 
 
 def p5_versions(spark: SparkSession, d: str) -> DataFrame:
-    return drift.schema_changes(table(spark, d, "source_export")).versions.select("series_id", "file_no", "prev_no", "version", "fingerprint")
+    return drift.schema_changes(table(spark, d, "source_export")).versions
+
+
+def p5_steps(spark: SparkSession, d: str) -> DataFrame:
+    return drift.migration_steps(drift.schema_changes(table(spark, d, "source_export")))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """Every step of migration, and every cast that failed, by file and field."""
+    export = table(spark, d, "source_export")
+    found = drift.schema_changes(export)
+    route = drift.routes(found)
+    return drift.migration_report(drift.consistent_table(export, found, ["file_no"], route=route), drift.migration_steps(found, route))
 
 
 MESSAGES = {"rss_entry": ["subscription_id", "id"], "rss_subscription_item": ["source_id", "link"]}
@@ -61,7 +74,7 @@ def p7_kept(spark: SparkSession, d: str) -> DataFrame:
     return deliveries.deduplicate(table(spark, d, "rss_entry"), MESSAGES["rss_entry"], ["first_seen_at", "delivery_id"])
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p5_table": p5_table, "p5_versions": p5_versions, "p7_found": p7_found, "p7_kept": p7_kept}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p5_table": p5_table, "p5_versions": p5_versions, "p5_steps": p5_steps, "p5_report": p5_report, "p7_found": p7_found, "p7_kept": p7_kept}
 
 SQL: dict[str, str] = {
     "p7_found": """
@@ -77,8 +90,10 @@ SQL: dict[str, str] = {
           SELECT *, CASE WHEN id IS NULL OR id = '' OR subscription_id IS NULL OR subscription_id = '' THEN 1
                     ELSE row_number() OVER (PARTITION BY subscription_id, id ORDER BY first_seen_at, delivery_id) END AS n
           FROM rss_entry) WHERE n = 1""",
-    "p5_found": """
-        WITH v AS (SELECT series_id, file_no, lag(file_no) OVER (PARTITION BY series_id ORDER BY first_at, file_no) AS prev_no
+}
+
+_DRIFT = """
+        WITH v AS (SELECT series_id, file_no, lag(file_no) OVER (PARTITION BY series_id ORDER BY first_at, file_no) AS prev_no, first_at
                    FROM (SELECT series_id, file_no, min(exported_at) AS first_at FROM source_export GROUP BY 1, 2)),
         c AS (SELECT series_id, file_no, json_extract_string(raw, '$.sourceId') AS rec, k AS field, json_extract(raw, '$.' || k)::VARCHAR AS val,
                 CASE json_type(raw, '$.' || k) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END AS kind
@@ -94,9 +109,45 @@ SQL: dict[str, str] = {
               SELECT j.file_no, CASE WHEN j.new_kind IS NULL THEN 'old' ELSE 'new' END AS side, j.field, coalesce(j.old_kind, j.new_kind) AS kind, string_agg(DISTINCT b.rec || '=' || c.val, '|' ORDER BY b.rec || '=' || c.val) AS proof
               FROM j JOIN b ON b.file_no = j.file_no JOIN c ON c.series_id = j.series_id AND c.rec = b.rec AND c.field = j.field AND c.kind IS NOT NULL AND c.file_no = CASE WHEN j.new_kind IS NULL THEN j.prev_no ELSE j.file_no END
               WHERE j.old_kind IS NULL OR j.new_kind IS NULL GROUP BY 1, 2, 3, 4)),
-        m AS (SELECT o.file_no, o.field AS old_field, n.field AS new_field FROM p o JOIN p n ON o.file_no = n.file_no AND o.kind = n.kind AND o.proof = n.proof AND o.turn = n.turn AND o.side = 'old' AND n.side = 'new')
+        m AS (SELECT o.file_no, o.field AS old_field, n.field AS new_field FROM p o JOIN p n ON o.file_no = n.file_no AND o.kind = n.kind AND o.proof = n.proof AND o.turn = n.turn AND o.side = 'old' AND n.side = 'new')"""
+_CHANGES = """
         SELECT file_no, 'renamed' AS change_kind, old_field, new_field FROM m
         UNION ALL SELECT file_no, 'retyped', field, field FROM j WHERE old_kind <> new_kind
         UNION ALL SELECT file_no, 'removed', field, '' FROM j WHERE new_kind IS NULL AND NOT EXISTS (SELECT 1 FROM m WHERE m.file_no = j.file_no AND m.old_field = j.field)
-        UNION ALL SELECT file_no, 'added', '', field FROM j WHERE old_kind IS NULL AND NOT EXISTS (SELECT 1 FROM m WHERE m.file_no = j.file_no AND m.new_field = j.field)""",
+        UNION ALL SELECT file_no, 'added', '', field FROM j WHERE old_kind IS NULL AND NOT EXISTS (SELECT 1 FROM m WHERE m.file_no = j.file_no AND m.new_field = j.field)"""
+_PRINTS = """
+        , k AS (SELECT series_id, file_no, field, string_agg(kind, '|' ORDER BY kind) AS kind FROM f GROUP BY 1, 2, 3),
+        g AS (SELECT v.series_id, v.file_no, v.prev_no, v.first_at, md5(coalesce(string_agg(k.field || chr(31) || k.kind, chr(30) ORDER BY k.field), '')) AS fingerprint FROM v LEFT JOIN k USING (series_id, file_no) GROUP BY 1, 2, 3, 4),
+        s AS (SELECT *, CASE WHEN fingerprint = lag(fingerprint) OVER (PARTITION BY series_id ORDER BY first_at, file_no) THEN 0 ELSE 1 END AS new FROM g),
+        n AS (SELECT series_id, file_no, prev_no, CAST(sum(new) OVER (PARTITION BY series_id ORDER BY first_at, file_no) AS BIGINT) AS version, fingerprint FROM s)"""
+#: Spellings of one field that renamings connect; the first is its column. Other fields are spelled one way.
+_SPELLINGS = {
+    "bookSourceComment": ["book_source_comment"], "bookUrlPattern": ["book_url_pattern", "bookurlpattern"], "concurrentRate": ["requestRate", "concurrent_rate"],
+    "exploreScreen": ["exploreFilter", "screen"], "searchUrl": ["searchAddress", "search_url"],
+}
+_COLUMNS = {
+    "string": ["bookSourceComment", "bookSourceName", "bookSourceUrl", "bookUrlPattern", "charset", "concurrentRate", "coverDecode", "exploreScreen", "header", "jsLib", "loginUrl", "rateLimit", "requestHeader", "searchUrl", "sourceId"],
+    "BIGINT": ["bookSourceType", "customOrder", "lastUpdateTime", "weight"],
+    "BOOLEAN": ["enabled"],
+}
+
+
+def _column(name: str, kind: str) -> str:
+    value = "coalesce(" + ", ".join(f"json_extract_string(raw, '$.{n}')" for n in [name, *_SPELLINGS.get(name, [])]) + ")"
+    return f"{value if kind == 'string' else f'CAST({value} AS {kind})'} AS {name}"
+
+
+SQL |= {
+    "p5_found": _DRIFT + _CHANGES,
+    "p5_versions": _DRIFT + _PRINTS + " SELECT * FROM n",
+    "p5_steps": _DRIFT + _PRINTS + f""", a AS ({_CHANGES}),
+        e AS (SELECT unnest(map_keys(w)) AS old_name, unnest(map_values(w)) AS column_name FROM (SELECT MAP {{{", ".join(f"'{o}': '{c}'" for c, x in _SPELLINGS.items() for o in x)}}} AS w))
+        SELECT n.series_id, n.version, n.file_no, CASE change_kind WHEN 'renamed' THEN 'rename' WHEN 'added' THEN 'default' WHEN 'removed' THEN 'retire' ELSE 'cast' END AS rule,
+          CASE change_kind WHEN 'added' THEN new_field ELSE old_field END AS field, CASE change_kind WHEN 'renamed' THEN new_field WHEN 'retyped' THEN coalesce(e.column_name, new_field) ELSE '' END AS target
+        FROM a JOIN n USING (file_no) LEFT JOIN e ON a.new_field = e.old_name
+        UNION ALL SELECT x.series_id, x.version, x.file_no, 'rename', e.old_name, e.column_name
+        FROM (SELECT k.series_id, k.file_no, k.field, n.version, row_number() OVER (PARTITION BY k.series_id, k.field ORDER BY v.first_at, k.file_no) AS nth FROM k JOIN n USING (series_id, file_no) JOIN v USING (series_id, file_no)) x JOIN e ON x.field = e.old_name
+        WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM a WHERE a.file_no = x.file_no AND a.change_kind = 'renamed' AND a.new_field = x.field)""",
+    "p5_table": "SELECT export_id, series_id, file_no, line_no, " + ", ".join(_column(n, k) for k, names in _COLUMNS.items() for n in names) + ", CAST(NULL AS VARCHAR) AS unfit FROM source_export",
 }
+SQL["p5_report"] = f"SELECT file_no, rule, field, target, 1::BIGINT AS n FROM ({SQL['p5_steps']})"  # no cast fails there
