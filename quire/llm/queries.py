@@ -17,10 +17,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 FIELDS = ["bookSourceUrl", "lastUpdateTime", "respondTime", "exploreUrl", "bookSourceComment"]
 
 
-def representatives(spark: SparkSession, d: str) -> DataFrame:
+def representatives(spark: SparkSession, d: str, lead: float = 1.0) -> DataFrame:
     at = number_instant(F.col("lastUpdateTime"))
     usable = {f: consensus.filled(F.col(f)) for f in FIELDS} | {"lastUpdateTime": at.isNotNull(), "respondTime": F.col("respondTime") > 0}
-    return consensus.best_representative(table(spark, d, "corpus_source"), "rec_id", consensus.site(F.col("bookSourceUrl")), {f: F.col(f) for f in FIELDS}, usable, at)
+    return consensus.best_representative(table(spark, d, "corpus_source"), "rec_id", consensus.site(F.col("bookSourceUrl")), {f: F.col(f) for f in FIELDS}, usable, at, lead, F.col("enabled").cast("int"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -32,6 +32,12 @@ def p2_records(spark: SparkSession, d: str) -> DataFrame:
     return representatives(spark, d).groupBy("first_id").agg(*(F.max(F.when(F.col("field_name") == f, F.col("value"))).alias(f) for f in FIELDS))
 
 
+def p2_consensus(spark: SparkSession, d: str) -> DataFrame:
+    """The same with votes of bounded weight, in which the best import is a voter like any: where more
+    and better imports agree against it, one of theirs survives."""
+    return representatives(spark, d, lead=0.0).select("first_id", "field_name", "from_id", "from_centre")
+
+
 def terms(spark: SparkSession, d: str) -> DataFrame:
     """Rows in which each record's items follow each other, as a narrow operation leaves them."""
     source = table(spark, d, "corpus_source")
@@ -77,7 +83,7 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p2_found, p2_records, p4_found, p4_terms, p6_found, p6_copies, p8_ids, p9_packed, p10_found, p10_clean)
+    f.__name__: f for f in (p2_found, p2_records, p2_consensus, p4_found, p4_terms, p6_found, p6_copies, p8_ids, p9_packed, p10_found, p10_clean)
 }
 
 _BLANK = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
