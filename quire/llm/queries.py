@@ -79,7 +79,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_clean(spark: SparkSession, d: str) -> DataFrame:
-    return residue.without_residue(table(spark, d, "documents"), "doc_id")
+    return residue.without_residue(table(spark, d, "documents"))
 
 
 QUERIES: dict[str, Query] = {

@@ -70,9 +70,49 @@ def test_residue(text, kind):
     assert residue(text) == kind
 
 
+@pytest.mark.parametrize(
+    "subject",
+    [
+        "Use ${HOME} in the install script", "Replace {{ name }} with {{ title }} in the header template", "Escape %(user)s in the log format", "Read $(pwd) once, not per file", "Support [[wiki links]] in the parser",
+        "Fix «quoted» titles in the French locale", "Rename #{title} interpolation helper", "Handle <title> in feeds", "Handle connection refused", "Fix page not found", "Return 404 Not Found for unknown ids",
+        "Retry when the service is unavailable", "Translate page not found to Korean", "Show access denied in the log", "Document how to enable JavaScript in tests", "Drop the coming soon banner", "Add description", "Add your avatar to the profile page",
+        "Parse [title](url) links in the changelog", "Interpolate $version before $date in file names", "Allow {path} in %TEMP% settings on Windows", "Rename first name to given name", "Fehler in der Fußzeile behoben", "修复页面不存在时的错误", "Store null instead of undefined for empty titles",
+    ],
+)
+def test_real_subjects_are_clean(subject):
+    assert residue(commit(subject)) is None and residue(commit(subject, "", "It broke on Mondays.")) is None
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "This page requires JavaScript to be enabled", "HTTP Error 503. The service is unavailable.", "[INSERT TITLE HERE]", "Add your description here", "Страница не найдена", "페이지를 찾을 수 없습니다", "Pagina non trovata. Riprova più tardi.", "Ha ocurrido un error. Inténtelo de nuevo más tarde.",
+        "Es ist ein Fehler aufgetreten", "Включите JavaScript, чтобы продолжить", "자바스크립트를 활성화 하세요", "Abilita JavaScript per continuare", "Enter your commit message here", "{{ anything.at_all }}", "We're sorry, an error occurred while processing your request.", "The requested URL was not found on this server.",
+        "You must enable JavaScript to continue", "JavaScript is turned off", "Testo segnaposto", "${PROJECT_NAME}",
+    ],
+)
+def test_residue_that_no_generator_wrote(text):
+    assert residue(text) is not None
+
+
+@pytest.mark.parametrize("author", ["Your Name <you@example.invalid>", "FIRSTNAME LASTNAME <name@company.invalid>", "%USER_NAME%", "{author} <{email}>", "Ihr Name <x@y.test>"])
+def test_authors_left_unfilled(author):
+    assert residue(commit("Fix x").replace("A B <a@b.test>", author)) == "placeholder"
+    assert residue(commit("Fix x").replace("A B", "Johannes Namer")) is None
+
+
+def test_coverage_is_of_the_whole_text_that_is_no_commit():
+    assert residue("Hello,\nwe are sorry\nan unexpected error\nbad gateway\nplease try again later\n") == "error"
+    long = "A chapter about proxies.\n" * 200
+    assert residue(long + "Access denied is what the proxy of the old house said to all of us.\n") is None
+
+
 def test_operator(spark, rows):
     data = [(1, "Access denied", "k"), (1, "Access denied", "k"), (2, None, "k"), (3, "", "k"), (4, commit("Fix x"), "k")]
     df = spark.createDataFrame(data, "doc_id bigint, text string, kind string")
     assert rows(find_residue(df, "doc_id")) == [(1, "error")] * 2
-    assert sorted(r.doc_id for r in without_residue(df, "doc_id").collect()) == [2, 3, 4]
-    assert find_residue(df.limit(0), "doc_id").count() == 0
+    assert sorted(r.doc_id for r in without_residue(df).collect()) == [2, 3, 4]
+    assert find_residue(df.limit(0), "doc_id").count() == 0 == without_residue(df.limit(0)).count()
+    assert without_residue(df).schema == df.schema
+    plan = without_residue(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
