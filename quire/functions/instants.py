@@ -6,6 +6,7 @@ import re
 import unicodedata
 from datetime import datetime, timedelta
 from functools import lru_cache
+from itertools import product
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
@@ -70,6 +71,8 @@ FORMS += [
 ]
 NUMBER = re.compile(r"\+?(\d{1,20})(?:\.(\d*))?")
 OFFSET = re.compile(r"([+-])(\d{1,2}):?(\d{2})?$")
+#: A remark at the end, as mail headers have it; a zone in brackets is read first.
+COMMENT = re.compile(r"\s*\([^()]*\)$")
 EPOCH = datetime(1970, 1, 1)
 
 
@@ -143,14 +146,15 @@ def parse(raw: str | None, zone_name: str | None = "UTC", day_first: bool | None
     if raw is None:
         return None
     s = unicodedata.normalize("NFKC", raw).strip()
-    if not s or len(s) > 100:
+    if not s:
         return None
     own = zone_of(zone_name or "UTC") or zone_of("UTC")
     if m := NUMBER.fullmatch(s):
         return number(m[1], m[2] or "", own)
     s = s.strip("\"'").lower()
-    for form in FORMS:
-        if not (m := form.fullmatch(s)):
+    bare = COMMENT.sub("", s)
+    for form, value in product(FORMS, (s,) if bare == s else (s, bare)):
+        if not (m := form.fullmatch(value)):
             continue
         g = m.groupdict()
         try:

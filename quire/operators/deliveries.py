@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.session import free_name
+from quire.store import add_segment, read_segments, segments
 
 
 def identified(df: DataFrame, keys: list[str]) -> Column:
@@ -44,10 +45,28 @@ def deduplicate(df: DataFrame, keys: list[str], order: list[str], stored: DataFr
     """
     first = keep_first(df, keys, order)
     if stored is not None:
-        first = first.join(stored.select(*keys).distinct(), keys, "left_anti").select(*df.columns)
+        names = [F.col(f"`{k}`") for k in keys]
+        first = first.join(stored.select(*names).distinct(), keys, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
     return first.unionByName(df.filter(~identified(df, keys)))
 
 
+def admit(batch: DataFrame, name: str, store: str, keys: list[str], order: list[str]) -> DataFrame:
+    """One delivery of each message of a batch that no earlier batch had; all rows without identifiers.
+
+    The store (see quire.store) keeps one segment of identifiers per batch. Names sort in the order in
+    which batches are admitted, one after another; a batch whose job broke off, or that comes again, is
+    compared with the segments before its own, so it gives the same rows again.
+    """
+    spark = batch.sparkSession
+    ids = batch.select(*[F.col(f"`{k}`") for k in keys])
+    paths = [p for p in segments(spark, store) if p.rstrip("/").rsplit("/", 1)[-1] < name]
+    known = read_segments(spark, paths, ids.schema)
+    first = deduplicate(batch, keys, order, known)
+    new = first.filter(identified(first, keys)).select(*[F.col(f"`{k}`") for k in keys])
+    add_segment(new, store, name)
+    return first
+
+
 def keep_first_stream(stream: DataFrame, keys: list[str], event_time: str, watermark: str) -> DataFrame:
     """The same over a stream: the first arrival of each identifier within the watermark."""
     return stream.filter(identified(stream, keys)).withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(keys)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import deliveries, drift, instants, packed
-from quire.session import table
+from quire.session import shared_dir, table
+from quire.store import kept_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,7 +35,20 @@ def stated_instants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return instants.normalise_instants(stated_instants(spark, d))
+    """Values met in earlier runs are in the kept dictionary; only others are parsed."""
+    return instants.normalise_instants(stated_instants(spark, d), kept_dir(spark, "instants"))
+
+
+def p3_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The feed's dates first, then those of all three fields: the second run parses what is new."""
+    rows, path = stated_instants(spark, d), f"{shared_dir(spark)}/quire/instants-{uuid.uuid4().hex}"
+    instants.extend_dictionary(rows.filter("field_name = 'published_at' and length(trim(raw)) > 0").select(*instants.KEY).dropna(), path)
+    return instants.normalise_instants(rows, path)
+
+
+def p3_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Update times alone: numbers, whatever they count or spell."""
+    return instants.normalise_instants(stated_instants(spark, d).filter("field_name = 'lastUpdateTime'"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -70,11 +85,21 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def p7_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries admitted in two batches, by the middle of their arrival times, against a store."""
+    entry, keys, order = table(spark, d, "rss_entry"), MESSAGES["rss_entry"], ["first_seen_at", "delivery_id"]
+    store = f"{shared_dir(spark)}/quire/deliveries-{uuid.uuid4().hex}"
+    low, high = entry.agg(F.min("first_seen_at"), F.max("first_seen_at")).first()
+    early = F.col("first_seen_at") < ((low or 0) + (high or 0)) // 2
+    out = [deliveries.admit(entry.filter(c), name, store, keys, order) for name, c in (("batch-1", early), ("batch-2", ~early))]
+    return out[0].unionByName(out[1]).select("delivery_id", "subscription_id", "id", "first_seen_at")
+
+
 def p7_kept(spark: SparkSession, d: str) -> DataFrame:
     return deliveries.deduplicate(table(spark, d, "rss_entry"), MESSAGES["rss_entry"], ["first_seen_at", "delivery_id"])
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p5_table": p5_table, "p5_versions": p5_versions, "p5_steps": p5_steps, "p5_report": p5_report, "p7_found": p7_found, "p7_kept": p7_kept}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found, "p3_batches": p3_batches, "p3_numbers": p3_numbers, "p5_found": p5_found, "p5_table": p5_table, "p5_versions": p5_versions, "p5_steps": p5_steps, "p5_report": p5_report, "p7_found": p7_found, "p7_kept": p7_kept, "p7_batches": p7_batches}
 
 SQL: dict[str, str] = {
     "p7_found": """
@@ -151,3 +176,10 @@ SQL |= {
     "p5_table": "SELECT export_id, series_id, file_no, line_no, " + ", ".join(_column(n, k) for k, names in _COLUMNS.items() for n in names) + ", CAST(NULL AS VARCHAR) AS unfit FROM source_export",
 }
 SQL["p5_report"] = f"SELECT file_no, rule, field, target, 1::BIGINT AS n FROM ({SQL['p5_steps']})"  # no cast fails there
+
+SQL["p7_batches"] = f"SELECT delivery_id, subscription_id, id, first_seen_at FROM ({SQL['p7_kept']})"
+SQL["p3_numbers"] = """
+    WITH a AS (SELECT rec_id, lastUpdateTime AS n, CAST(lastUpdateTime AS VARCHAR) AS t FROM corpus_source WHERE lastUpdateTime >= 0),
+    b AS (SELECT rec_id, list_filter([n * 1000::HUGEINT, n::HUGEINT, (n // 1000)::HUGEINT, (n // 1000000)::HUGEINT,
+      epoch_ms(CASE length(t) WHEN 14 THEN try_strptime(t, '%Y%m%d%H%M%S') WHEN 12 THEN try_strptime(t, '%Y%m%d%H%M') WHEN 8 THEN try_strptime(t, '%Y%m%d') END)::HUGEINT], lambda x: x >= 1420070400000 AND x < 1830297600000) AS ms FROM a)
+    SELECT 'lastUpdateTime' AS field_name, rec_id AS row_key, CAST(ms[1] AS BIGINT) AS epoch_ms FROM b WHERE len(ms) > 0"""

@@ -1,4 +1,4 @@
-from quire.operators.deliveries import deduplicate, keep_first, repeats
+from quire.operators.deliveries import admit, deduplicate, keep_first, repeats
 
 SCHEMA = "s string, id string, at bigint, n bigint, __rank int"
 DATA = [("a", "x", 2, 1, 0), ("a", "x", 1, 3, 0), ("a", "x", 1, 2, 0), ("b", "x", 5, 4, 0), ("a", None, 1, 5, 0), ("a", None, 1, 6, 0), ("a", "", 1, 7, 0), ("c", "z", None, 8, 0), ("c", "z", 9, 9, 0)]
@@ -23,3 +23,15 @@ def test_the_hot_message_is_ranked_before_the_shuffle(spark):
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
     assert repeats(df, ["s", "id"], ["at", "n"], "n").count() == 6666
+
+
+def test_batches_against_a_store(spark, tmp_path):
+    df = spark.createDataFrame(DATA, SCHEMA)
+    keys, order, store = ["s", "id"], ["at", "n"], str(tmp_path / "store")
+    first, second = df.filter("n <= 4"), df.filter("n > 2")
+    take = lambda batch, name: sorted(r.n for r in admit(batch, name, store, keys, order).collect())
+    assert take(first, "b1") == [2, 4]
+    assert take(second, "b2") == [5, 6, 7, 9]
+    assert take(second, "b2") == [5, 6, 7, 9] and take(first, "b1") == [2, 4]  # a job that comes again
+    assert take(df, "b3") == [5, 6, 7]  # rows without an identifier are no repeats
+    assert take(df.limit(0), "b4") == []

@@ -1,3 +1,4 @@
+import shutil
 from datetime import UTC, datetime
 
 import pytest
@@ -83,9 +84,27 @@ def test_operator(spark, rows, tmp_path):
     want = [("f", 1, ms(2024, 4, 15))] * 2 + [("g", 5, 1713106400000)]
     assert rows(normalise_instants(df)) == want
     path = str(tmp_path / "dictionary")
+    kept = lambda: spark.read.option("recursiveFileLookup", "true").parquet(path)
     assert rows(normalise_instants(df, path)) == want
-    assert spark.read.parquet(path).count() == 3
+    assert kept().count() == 3
     more = spark.createDataFrame([*data, ("h", 6, "2024-04-16", "UTC", True, "")], SCHEMA)
     assert len(rows(normalise_instants(more, path))) == 4
-    assert spark.read.parquet(path).count() == 4  # only what was new was parsed and kept
+    assert kept().count() == 4  # only what was new was parsed and kept
     assert normalise_instants(df.limit(0)).count() == 0
+
+
+def test_a_broken_run_and_two_runs_at_once_leave_one_row_each(spark, rows, tmp_path):
+    path = tmp_path / "dictionary"
+    df = spark.createDataFrame([("f", 1, "2024-04-15", "UTC", True, ""), ("g", 2, "2024-04-15", "UTC", True, "")], SCHEMA)
+    want = [("f", 1, ms(2024, 4, 15)), ("g", 2, ms(2024, 4, 15))]
+    assert rows(normalise_instants(df, str(path))) == want  # the source is part of the key
+    one = next(path.glob("reading-*/*"))
+    shutil.copytree(one, one.parent / "other-writer")  # the same values from another run
+    shutil.copytree(one, one.parent / "broken-off")
+    (one.parent / "broken-off" / "_SUCCESS").unlink()
+    assert rows(normalise_instants(df, str(path))) == want
+
+
+def test_long_values_and_remarks():
+    assert parse("Mon, 15 Apr 2024 10:00:00 +0000 (a remark " + "that goes on " * 20 + ")") == ms(2024, 4, 15, 10)
+    assert parse("2024-04-15 " + "x" * 100_000) is None
