@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -11,6 +12,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def sorted_object(text: str | None) -> str:
+    """JSON with keys in order at every level; a text that isn't JSON stands for itself, null for null."""
+    if text is None:
+        return "\x00"
+    try:
+        return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    except (ValueError, RecursionError):
+        return "\x01" + text.strip()
+
+
+def json_digest(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key and the SHA-256 of a JSON text in its canonical form: equal values, equal digests, however
+    their keys are ordered or spaced. Null gives null."""
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, digest string"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [None if s is None else hashlib.sha256(sorted_object(s).encode("utf-8", "surrogatepass")).hexdigest() for s in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], [key, "digest"])
+
+    return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, schema)
+
+
 def flatten_json(df: DataFrame, key: str, text: str, volatile: tuple[str, ...] = ()) -> DataFrame:
     """key, path, value of every leaf of a JSON text; lists by index, empty lists and objects are leaves.
     Top-level fields named in volatile are masked; strings lose what spellings differ in. Texts that

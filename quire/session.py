@@ -56,26 +56,48 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table into the shared folder and reads it back: lineage ends there."""
+    """Writes df as a table into the shared folder and reads it back: lineage ends there.
+
+    The table goes when the application ends, or with sweep().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quire/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Deletes the stored tables of this application, which nothing may read any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/quire")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def input_bytes(df: DataFrame) -> int:
+    """What the engine's statistics say about the size of df: file sizes, for tables as they are read."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+SMALL = 64 << 20  # bytes that spread() may move
+RANGE = 64 << 20  # bytes of input for one range
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df in at least as many partitions as the session has cores, for stages whose work lies in Python.
+    """df dealt out to all cores if it is a small table (at most SMALL bytes by the engine's
+    statistics), which would be one task's work; a larger one stays in the splits it is read in."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if input_bytes(df) <= SMALL else df
 
-    A large input has more splits than that, and nothing is moved; only a small file, which would be one
-    task's work, is dealt out.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    few = df._jdf.queryExecution().toRdd().getNumPartitions() < cores
-    return df.repartition(cores) if few else df
+
+def ranges(df: DataFrame) -> int:
+    """How many ranges to sort df in: one for RANGE bytes, at least as many as the session's shuffles have."""
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = input_bytes(df)
+    return own if size >= 1 << 62 else max(own, -(-size // RANGE))  # without statistics the engine says 2^63
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
