@@ -2,8 +2,9 @@
 
 Records are range-partitioned by the hash of their canonical form and their id, sorted in each
 partition (the engine's external sort) and scanned once: neighbours with equal full keys are a run. As
-the id is part of the range, a run may go over several partitions, so no group has to fit one task;
-what each partition begins with is taken from the ends of those before it.
+the id is part of the range, a run may go over several partitions, so no group has to fit one task. The
+ends of the partitions, digests of keys and ids, are a small table; the rows of a run that began in an
+earlier partition get their first id from it.
 """
 
 from __future__ import annotations
@@ -11,13 +12,16 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.session import stage, shared_dir
+from quire.operators.rollup import sorted_object
+from quire.session import ranges, shared_dir, stage
 
 SEPARATOR = "\x1f"
 
@@ -30,18 +34,8 @@ def letters_and_digits(column: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(pa.array(folded, pa.string()), r"[^\p{L}\p{N}]+", "")
 
 
-def sorted_object(text: str | None) -> str:
-    """JSON with keys in order at every level; a text that isn't JSON stands for itself, null for null."""
-    if text is None:
-        return "\x00"
-    try:
-        return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    except (ValueError, RecursionError):
-        return "\x01" + text.strip()
-
-
 def canonical(df: DataFrame, key: str, texts: list[str], needed: list[str], objects: list[str]) -> DataFrame:
-    """key and __key, the canonical form; no row where a text of needed is null or has no letter or digit."""
+    """key and __key, the canonical form; null where a text of needed is null or has no letter or digit."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -55,64 +49,85 @@ def canonical(df: DataFrame, key: str, texts: list[str], needed: list[str], obje
             for k in range(len(objects)):
                 parts.append(pa.array([sorted_object(s) for s in b.column(1 + len(texts) + k).to_pylist()], pa.string()))
             form = pc.binary_join_element_wise(*parts, SEPARATOR)
-            out = pa.RecordBatch.from_arrays([b.column(0), form], [key, "__key"])
-            yield out.filter(keep) if keep is not None else out
+            if keep is not None:
+                form = pc.if_else(keep, form, pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), form], [key, "__key"])
 
     columns = [key, *texts, *objects]
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, __key string")
 
 
+def first_of_runs(keys: pa.Array, ids: pa.Array, last: str | None, begin: object, started: bool) -> tuple[pa.Array, np.ndarray]:
+    """The id that begins each row's run, and the rows that begin one; the run before is (last, begin)."""
+    new = np.ones(len(keys), bool)
+    new[1:] = pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)
+    if started:
+        new[0] = keys[0].as_py() != last
+    at = np.flatnonzero(new)
+    run = np.cumsum(new) - 1
+    own = ids.take(pa.array(at))
+    if not new[0]:
+        own = pa.concat_arrays([pa.array([begin], ids.type), own])
+        run += 1
+    return own.take(pa.array(run)), new
+
+
+def digest(key: str) -> str:
+    return blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def runs(keyed: DataFrame, key: str) -> DataFrame:
-    """first_id and copy_id for every row of (key, __key); first_id is the least id of equal keys.
+    """first_id and copy_id for every row of (key, __key) with a __key; first_id is the least id of equal
+    keys.
 
     Equal (key, __key) rows are copies of each other like any. The sorted rows are stored once by
-    checkpoint(); the ends of their partitions, one small row each, go to the driver and back.
+    checkpoint(), in ranges by the size of keyed, which should be a stored table. What leaves a task
+    beside its rows is one row of digests and ids for its partition.
     """
-    spark = keyed.sparkSession
-    shared_dir(spark)
-    order = [F.xxhash64("__key").alias("__hash"), F.col("__key"), F.col(f"`{key}`").alias("id")]
-    rows = keyed.select(*order)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "__hash", "__key", "id").sortWithinPartitions("__hash", "__key", "id").checkpoint()
+    shared_dir(keyed.sparkSession)
+    rows = keyed.filter("__key is not null").select(F.xxhash64("__key").alias("__hash"), F.col("__key"), F.col(f"`{key}`").alias("id"))
+    rows = rows.repartitionByRange(ranges(keyed), "__hash", "__key", "id").sortWithinPartitions("__hash", "__key", "id").checkpoint()
     id_type = rows.schema["id"].dataType.simpleString()
     rows = rows.select("__key", "id", F.spark_partition_id().alias("part"))
 
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = begin = None
+        started, first_run = False, True
+        for b in batches:
+            if not b.num_rows:
+                continue
+            firsts, new = first_of_runs(b.column(0), b.column(1), last, begin, started)
+            later = new.copy()
+            if not started:
+                later[0] = False
+            head = first_run & (np.cumsum(later) == 0)  # rows of the partition's first run, which may go on from another
+            first_run = bool(head[-1])
+            started, last, begin = True, b.column(0)[b.num_rows - 1].as_py(), firsts[len(firsts) - 1].as_py()
+            part = pc.if_else(pa.array(head), b.column(2), pa.scalar(None, pa.int32()))
+            yield pa.RecordBatch.from_arrays([firsts, b.column(1), part], ["first_id", "copy_id", "part"])
+
     def ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = last = begin = part = None
         for b in batches:
-            for k, i, p in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-                if part is None:
-                    first, last, begin, part = k, k, i, p
-                elif k != last:
-                    last, begin = k, i
+            if not b.num_rows:
+                continue
+            firsts, _ = first_of_runs(b.column(0), b.column(1), last, begin, part is not None)
+            if part is None:
+                first, part = b.column(0)[0].as_py(), b.column(2)[0].as_py()
+            last, begin = b.column(0)[b.num_rows - 1].as_py(), firsts[len(firsts) - 1].as_py()
         if part is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first == last]), pa.array([first]), pa.array([last]), pa.array([begin], b.column(1).type)], ["part", "same", "first", "last", "begin"])
-
-    edge = sorted(rows.mapInArrow(ends, f"part int, same boolean, first string, last string, begin {id_type}").collect(), key=lambda r: r["part"])
-    carried: dict[int, tuple[str, object]] = {}  # what the partition goes on with: one entry a partition
-    before = None
-    for r in edge:
-        if before and before[0] == r["first"]:
-            carried[r["part"]] = before
-            before = before if r["same"] else (r["last"], r["begin"])
-        else:
-            before = (r["last"], r["begin"])
-
-    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = begin = None
-        started = False
-        for b in batches:
-            firsts = []
-            for k, i, p in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-                if not started:
-                    started = True
-                    last, begin = carried.get(p, (k, i))
-                if k != last:
-                    last, begin = k, i
-                firsts.append(begin)
-            yield pa.RecordBatch.from_arrays([pa.array(firsts, b.column(1).type), b.column(1)], ["first_id", "copy_id"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([digest(first)]), pa.array([digest(last)]), pa.array([begin], b.column(1).type)], ["part", "first", "last", "begin"])
 
-    return rows.mapInArrow(scan, f"first_id {id_type}, copy_id {id_type}")
+    # one row a partition: in order, a partition's last run begins in it unless all of it goes on
+    order = Window.orderBy("part")
+    edge = rows.mapInArrow(ends, f"part int, first string, last string, begin {id_type}")
+    edge = edge.withColumn("goes_on", F.coalesce(F.col("first") == F.lag("last").over(order), F.lit(False)))
+    edge = edge.withColumn("own", F.when(~(F.col("goes_on") & (F.col("first") == F.col("last"))), F.col("begin")))
+    before = F.last("own", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    carried = edge.withColumn("carried", before).filter("goes_on").select("part", "carried")
+    out = rows.mapInArrow(scan, f"first_id {id_type}, copy_id {id_type}, part int")
+    head = out.filter("part is not null").join(carried, "part", "left")
+    return out.filter("part is null").select("first_id", "copy_id").unionByName(head.select(F.coalesce("carried", "first_id").alias("first_id"), "copy_id"))
 
 
 def hidden_duplicates(df: DataFrame, key: str, texts: list[str], needed: list[str], objects: list[str]) -> DataFrame:
@@ -121,12 +136,11 @@ def hidden_duplicates(df: DataFrame, key: str, texts: list[str], needed: list[st
     texts are equal when their letters and digits are; objects (JSON) when keys and values are, in any
     order. A record with a null or blank text of needed equals none. Other nulls equal each other.
     """
-    return runs(canonical(df, key, texts, needed, objects), key).filter("copy_id <> first_id")
+    return runs(stage(canonical(df, key, texts, needed, objects), "canonical"), key).filter("copy_id <> first_id")
 
 
 def collapse(df: DataFrame, key: str, texts: list[str], needed: list[str], objects: list[str]) -> DataFrame:
     """first_id and copies (exact count) of every distinct record; incomparable records stand alone."""
-    found = stage(runs(canonical(df, key, texts, needed, objects), key), "canonical-runs")
-    counted = found.groupBy("first_id").agg(F.count("*").alias("copies"))
-    alone = df.select(F.col(f"`{key}`").alias("first_id")).join(found.select(F.col("copy_id").alias("first_id")), "first_id", "left_anti")
-    return counted.unionByName(alone.withColumn("copies", F.lit(1).cast("bigint")))
+    keyed = stage(canonical(df, key, texts, needed, objects), "canonical")
+    counted = runs(keyed, key).groupBy("first_id").agg(F.count("*").alias("copies"))
+    return counted.unionByName(keyed.filter("__key is null").select(F.col(f"`{key}`").alias("first_id"), F.lit(1).cast("bigint").alias("copies")))

@@ -3,7 +3,8 @@
 Each task folds its records into blocks: a local dictionary with, for each term, its occurrences and
 the number of records that hold it. The distinct terms of all blocks make the global dictionary, whose
 identifiers are dense within its partitions. Blocks are encoded with it and laid out as count arrays
-over ranges of identifiers; arrays of the same range are summed.
+over ranges of identifiers; arrays of the same range are summed in two steps, first within each of WAYS
+shares of the tasks, so that no task holds more than a share of the arrays of one range.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from quire.session import stage
 
 BLOCK_TERMS = 100_000  # distinct terms after which a task hands on a block
 SPAN = 1024  # identifiers in a range
+WAYS = 256  # shares of the tasks in which arrays are summed first
+ARRAYS = "range bigint, start int, occurrences array<bigint>, records array<bigint>"
 PARTIAL = "field_name string, term string, occurrences bigint, records bigint"
 
 
@@ -72,20 +75,34 @@ def blocks(terms: DataFrame) -> DataFrame:
     return terms.mapInArrow(run, PARTIAL)
 
 
+def total(table: pa.Table) -> np.ndarray:
+    """Occurrences and records (rows) by identifier within a range (columns)."""
+    out = np.zeros((2, SPAN), np.int64)
+    for start, *arrays in zip(table.column("start").to_pylist(), table.column("occurrences"), table.column("records")):
+        for k, a in enumerate(arrays):
+            values = a.values.to_numpy(zero_copy_only=False)
+            out[k, start : start + len(values)] += values
+    return out
+
+
 def sums(encoded: DataFrame) -> DataFrame:
-    """Occurrences and records by identifier, from rows (range, start, occurrences[], records[])."""
+    """Occurrences and records by identifier, from rows (way, range, start, occurrences[], records[])."""
+
+    def share(table: pa.Table) -> pa.Table:
+        own = total(table)
+        at = np.flatnonzero(own[0])
+        low, high = (int(at[0]), int(at[-1]) + 1) if len(at) else (0, 0)
+        lists = [pa.array([own[k, low:high]], pa.list_(pa.int64())) for k in range(2)]
+        return pa.table([table.column("range").slice(0, 1), pa.array([low], pa.int32()), *lists], ["range", "start", "occurrences", "records"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros((2, SPAN), np.int64)
-        for start, *arrays in zip(table.column("start").to_pylist(), table.column("occurrences"), table.column("records")):
-            for k, a in enumerate(arrays):
-                values = a.values.to_numpy(zero_copy_only=False)
-                total[k, start : start + len(values)] += values
-        at = np.flatnonzero(total[0])
+        own = total(table)
+        at = np.flatnonzero(own[0])
         first = table.column("range")[0].as_py() * SPAN
-        return pa.table({"id": pa.array(first + at, pa.int64()), "occurrences": pa.array(total[0, at]), "records": pa.array(total[1, at])})
+        return pa.table({"id": pa.array(first + at, pa.int64()), "occurrences": pa.array(own[0, at]), "records": pa.array(own[1, at])})
 
-    return encoded.groupBy("range").applyInArrow(add, "id bigint, occurrences bigint, records bigint")
+    shares = encoded.groupBy("range", "way").applyInArrow(share, ARRAYS)
+    return shares.groupBy("range").applyInArrow(add, "id bigint, occurrences bigint, records bigint")
 
 
 def count_arrays(coded: DataFrame) -> DataFrame:
@@ -109,7 +126,7 @@ def count_arrays(coded: DataFrame) -> DataFrame:
                 r.append(np.bincount(i - low, c).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int64()), pa.array(starts, pa.int32()), pa.array(o, pa.list_(pa.int64())), pa.array(r, pa.list_(pa.int64()))], ["range", "start", "occurrences", "records"])
 
-    return coded.mapInArrow(run, "range bigint, start int, occurrences array<bigint>, records array<bigint>")
+    return coded.mapInArrow(run, ARRAYS).withColumn("way", F.pmod(F.spark_partition_id(), F.lit(WAYS)))
 
 
 def term_frequencies(terms: DataFrame, records: int | None = None, min_records: int = 3, max_share: float = 0.2) -> DataFrame:

@@ -93,10 +93,11 @@ def _filled(c: str) -> str:
     return f"coalesce(length(regexp_replace({c}, '{_BLANK}+', '', 'g')) > 0, FALSE)"
 
 
-_WIDE, _NARROW = consensus.WIDE.replace("'", "''"), consensus.NARROW.replace("'", "''")
+#: Full-width forms and the ideographic blank to what they are wide forms of.
+_FOLD = "translate({x}, (SELECT string_agg(chr(c + 65248), '' ORDER BY c) FROM range(33, 127) t(c)) || chr(12288), (SELECT string_agg(chr(c), '' ORDER BY c) FROM range(33, 127) t(c)) || ' ')"
 #: Host and path of a URL, and the instant that a number states, as in the operators.
 _BEST = f"""
-    WITH a AS (SELECT rec_id, bookSourceUrl, lastUpdateTime, respondTime, exploreUrl, bookSourceComment, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(translate(bookSourceUrl, '{_WIDE}', '{_NARROW}')), '{_BLANK}+', '', 'g'), '^[a-z][a-z0-9+.-]*:/+|^/+', ''), '[?#].*', ''), '/+', '/', 'g') AS u,
+    WITH a AS (SELECT rec_id, bookSourceUrl, lastUpdateTime, respondTime, exploreUrl, bookSourceComment, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({_FOLD.format(x="bookSourceUrl")}), '{_BLANK}+', '', 'g'), '^[a-z][a-z0-9+.-]*:/+|^/+', ''), '[?#].*', ''), '/+', '/', 'g') AS u,
       CASE WHEN lastUpdateTime >= 1420070400 AND lastUpdateTime < 1830297600 THEN lastUpdateTime * 1000 WHEN lastUpdateTime >= 1420070400000 AND lastUpdateTime < 1830297600000 THEN lastUpdateTime
         WHEN lastUpdateTime // 1000 >= 1420070400000 AND lastUpdateTime // 1000 < 1830297600000 THEN lastUpdateTime // 1000 WHEN lastUpdateTime // 1000000 >= 1420070400000 AND lastUpdateTime // 1000000 < 1830297600000 THEN lastUpdateTime // 1000000
         WHEN length(CAST(lastUpdateTime AS VARCHAR)) = 14 THEN epoch_ms(try_strptime(CAST(lastUpdateTime AS VARCHAR), '%Y%m%d%H%M%S')) END AS inst FROM corpus_source),
@@ -119,7 +120,7 @@ _TERMS = f"""
     b AS (SELECT rec_id, unnest(CASE WHEN marked THEN regexp_extract_all(g, '(?:"[^"]*"|“[^”]*”|[^{_SEP}"“])+') ELSE regexp_extract_all(g, '(?:"[^"]*"|“[^”]*”|[^{_SEP}{_GAP}"“])+') END) AS i FROM a),
     c AS (SELECT rec_id, regexp_replace(i, '{_CUT}', '', 'g') AS i FROM b),
     e AS (SELECT rec_id, regexp_replace(CASE WHEN regexp_full_match(i, '"(?:[^"]|"")*"') THEN replace(i[2:-2], '""', '"') WHEN regexp_full_match(i, '“[^“”]*”') THEN i[2:-2] ELSE i END, '{_CUT}', '', 'g') AS i FROM c),
-    t AS (SELECT rec_id, 'bookSourceGroup' AS field_name, nfc_normalize(lower(translate(i, '{_WIDE}', '{_NARROW}'))) AS term FROM e WHERE i <> ''
+    t AS (SELECT rec_id, 'bookSourceGroup' AS field_name, nfc_normalize(lower({_FOLD.format(x="i")})) AS term FROM e WHERE i <> ''
       UNION ALL SELECT rec_id, 'bookSourceType', CAST(bookSourceType AS VARCHAR) FROM corpus_source WHERE bookSourceType IS NOT NULL),
     f AS (SELECT field_name, term, count(*) AS occurrences, count(DISTINCT rec_id) AS records FROM t GROUP BY 1, 2),
     m AS (SELECT *, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.2 * (SELECT count(*) FROM corpus_source) THEN 'common' END AS mark FROM f)"""
@@ -127,3 +128,13 @@ SQL |= {
     "p4_terms": _TERMS + " SELECT field_name, term, occurrences, records, mark FROM m",
     "p4_found": _TERMS + " SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
 }
+
+_SAME = f"""
+    WITH a AS (SELECT rec_id, regexp_replace(lower(nfc_normalize({_FOLD.format(x="bookSourceName")})), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS name, regexp_replace(lower(nfc_normalize({_FOLD.format(x="bookSourceUrl")})), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS url,
+      array_to_string(list_sort(list_transform(json_keys(ruleSearch), lambda k: k || '=' || json_extract(ruleSearch, '$."' || k || '"')::VARCHAR)), chr(31)) AS rules FROM corpus_source),
+    b AS (SELECT *, coalesce(url, '') <> '' AS there FROM a),
+    c AS (SELECT rec_id, there, CASE WHEN there THEN min(rec_id) OVER (PARTITION BY there, name, url, rules) ELSE rec_id END AS first_id FROM b)"""
+SQL |= {
+    "p6_found": _SAME + " SELECT first_id, rec_id AS copy_id FROM c WHERE first_id <> rec_id",
+    "p6_copies": _SAME + " SELECT first_id, count(*) AS copies FROM c GROUP BY 1",
+}
