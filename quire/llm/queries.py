@@ -94,7 +94,7 @@ def _filled(c: str) -> str:
 
 
 #: Full-width forms and the ideographic blank to what they are wide forms of.
-_FOLD = "translate({x}, (SELECT string_agg(chr(c + 65248), '' ORDER BY c) FROM range(33, 127) t(c)) || chr(12288), (SELECT string_agg(chr(c), '' ORDER BY c) FROM range(33, 127) t(c)) || ' ')"
+_FOLD = "translate({x}, (SELECT string_agg(chr((c + 65248)::INT), '' ORDER BY c) FROM range(33, 127) t(c)) || chr(12288), (SELECT string_agg(chr(c::INT), '' ORDER BY c) FROM range(33, 127) t(c)) || ' ')"
 #: Host and path of a URL, and the instant that a number states, as in the operators.
 _BEST = f"""
     WITH a AS (SELECT rec_id, bookSourceUrl, lastUpdateTime, respondTime, exploreUrl, bookSourceComment, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({_FOLD.format(x="bookSourceUrl")}), '{_BLANK}+', '', 'g'), '^[a-z][a-z0-9+.-]*:/+|^/+', ''), '[?#].*', ''), '/+', '/', 'g') AS u,
