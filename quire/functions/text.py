@@ -7,6 +7,7 @@ otherwise.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -88,18 +89,40 @@ def half_width(c: Column) -> Column:
 
 # The tags that break lines, and entities by name.
 BLOCK_TAGS = "article br dd div dl h1 h2 h3 h4 h5 h6 hr li p".split()
-ENTITIES = {"nbsp": " ", "ensp": " ", "emsp": " ", "thinsp": "", "zwnj": "", "zwj": "", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "ldquo": "“", "rdquo": "”", "mdash": "—", "ndash": "–", "hellip": "…", "middot": "·", "amp": "&"}
+ENTITIES = {
+    "nbsp": " ", "ensp": " ", "emsp": " ", "thinsp": "", "zwnj": "", "zwj": "", "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'",
+    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "ndash": "–", "mdash": "—", "hellip": "…", "middot": "·",
+}
+LONGEST_ENTITY = 32
 
 
 def is_block_tag(c: Column) -> Column:
     return F.lower(c).isin(BLOCK_TAGS)
 
 
+def character(code: Column) -> Column:
+    """The character with a code point (bigint); null where there is none."""
+    valid = (code >= 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
 def decode_entities(c: Column) -> Column:
-    """Entities by name; &amp; last, so nothing is decoded twice."""
-    for name, text in ENTITIES.items():
-        c = F.replace(c, F.lit(f"&{name};"), F.lit(text))
-    return c
+    """Entities by name and by number, decimal or hexadecimal, in one pass: nothing is decoded twice. What
+    stands between & and the next ; is an entity's name; an unknown one stays as it is."""
+    names = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
+
+    def piece(x: Column) -> Column:
+        name = F.regexp_extract(x, r"(?s)^&([^;]*);$", 1)
+        number = F.coalesce(F.conv(F.nullif(F.regexp_extract(name, r"^#[xX]([0-9a-fA-F]{1,8})$", 1), F.lit("")), 16, 10), F.nullif(F.regexp_extract(name, r"^#0*([0-9]{1,10})$", 1), F.lit("")))
+        short = (name != "") & (F.length(name) <= LONGEST_ENTITY)
+        return F.when(x.startswith("&") & short, F.coalesce(F.element_at(names, name), character(number.cast("bigint")), x)).otherwise(x)
+
+    pieces = F.regexp_extract_all(c, F.lit(r"(?s)(&[^;]*;|&[^;]*$|[^&]+)"), F.lit(1))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(pieces, piece), "")).otherwise(c)
+
+
+def _lines(c: Column) -> Column:
+    return F.array_join(F.filter(F.transform(F.split(c, "\n"), utrim), lambda x: x != ""), "\n")
 
 
 def strip_tags(c: Column) -> Column:
@@ -107,9 +130,38 @@ def strip_tags(c: Column) -> Column:
     blank lines out."""
     c = strip_comments(c)
     c = F.regexp_replace(c, rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})(?:\s[^<>]*)?/?>", "\n")
-    c = F.regexp_replace(c, r"</?[A-Za-z][^<>]*>", "")
-    lines = F.filter(F.transform(F.split(decode_entities(c), "\n"), utrim), lambda x: x != "")
-    return F.array_join(lines, "\n")
+    return _lines(decode_entities(F.regexp_replace(c, r"</?[A-Za-z][^<>]*>", "")))
+
+
+def looks_like_html(c: Column) -> Column:
+    return c.rlike(r"</?\s*[A-Za-z]")
+
+
+def format_fragment(c: Column) -> Column:
+    """Like strip_tags(), but images stay as <img src="...">, with their source, data-src or first other
+    data attribute; what has no tag's name between < and > stays as it is."""
+
+    def piece(x: Column) -> Column:
+        name = F.lower(F.regexp_extract(x, r"^<\s*/?\s*([A-Za-z0-9]+)", 1))
+        source = F.coalesce(*(F.nullif(attribute(x, n), F.lit("")) for n in ("src", "data-src", r"data-[\w-]+")))
+        image = F.when(source.isNotNull(), F.concat(F.lit('<img src="'), source, F.lit('">'))).otherwise("")
+        return F.when(~x.startswith("<") | ~x.endswith(">") | (name == ""), x).when(is_block_tag(name), "\n").when(name == "img", image).otherwise("")
+
+    pieces = F.regexp_extract_all(strip_comments(c), F.lit(r"(?s)(<[^>]*>|<[^>]*$|[^<]+)"), F.lit(1))
+    return _lines(remove_invisible(decode_entities(F.array_join(F.transform(pieces, piece), ""))))
+
+
+def extracted_content(c: Column) -> Column:
+    """What a content rule gave, as text: a fragment of HTML is formatted, other text loses its entities
+    and invisible characters and has its lines put in order."""
+    c = strip_bom(c)
+    return F.when(looks_like_html(c), format_fragment(c)).otherwise(normalize_content(remove_invisible(decode_entities(c))))
+
+
+def unwrap_json(c: Column) -> Column:
+    """What an outermost tag around JSON holds; a value that doesn't begin with a tag stays."""
+    inner = F.regexp_extract(c, r"(?s)^\s*<[^>]*>(.*)</", 1)
+    return F.when(c.rlike(r"(?s)^\s*<[^>]*>.*</"), utrim(inner)).otherwise(c)
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -138,6 +190,7 @@ class ReplaceRule:
     in_content: bool = True
     scope: str = ""
     exclude: str = ""
+    flags: str = ""  # i, m, s: letter case, lines, dots over line ends
 
 
 def scope_tokens(c: Column) -> Column:
@@ -169,11 +222,12 @@ def replace_rules(c: Column, rules: list[ReplaceRule], title: bool = False, *fie
         if not r.enabled or not r.pattern or not (r.in_title if title else r.in_content):
             continue
         if r.is_regex:
+            pattern = f"(?{own}){r.pattern}" if (own := "".join(x for x in "ims" if x in r.flags)) else r.pattern
             try:
-                re.compile(r.pattern)
+                re.compile(pattern)
             except re.error:
                 continue
-            changed = F.regexp_replace(c, r.pattern, r.replacement)
+            changed = F.regexp_replace(c, pattern, r.replacement)
         else:
             changed = F.replace(c, F.lit(r.pattern), F.lit(r.replacement))
         c = F.when(in_scope(r.scope, r.exclude, *fields), changed).otherwise(c) if r.scope or r.exclude else changed
@@ -207,11 +261,11 @@ def identity(c: Column) -> Column:
 
 
 def locator_key(c: Column) -> Column:
-    """Without a fragment, query parameters in order."""
+    """Without a fragment, query parameters in order, empty ones out."""
     bare = F.regexp_replace(c, r"#.*$", "")
     query = F.regexp_extract(bare, r"\?(.*)$", 1)
-    ordered = F.array_join(F.array_sort(F.split(query, "&")), "&")
-    return F.when(query != "", F.concat(F.regexp_extract(bare, r"^([^?]*)", 1), F.lit("?"), ordered)).otherwise(F.regexp_replace(bare, r"\?$", ""))
+    ordered = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: p != "")), "&")
+    return F.when(ordered != "", F.concat(F.regexp_extract(bare, r"^([^?]*)", 1), F.lit("?"), ordered)).otherwise(F.regexp_extract(bare, r"^([^?]*)", 1))
 
 
 def title_key(c: Column) -> Column:
@@ -220,9 +274,9 @@ def title_key(c: Column) -> Column:
 
 def switch_title(c: Column) -> Column:
     """A chapter title without its numbering, for matching between sources."""
-    c = F.regexp_replace(utrim(c), r"^第[0-9０-９零〇一二三四五六七八九十百千万两]+[章回节卷集]\s*", "")
-    c = F.regexp_replace(c, r"(?i)^chapter\s+[0-9]+\s*[:.\-]?\s*", "")
-    c = F.regexp_replace(c, r"^[0-9]+\s*[.、:\-]\s*", "")
+    c = F.regexp_replace(utrim(c), rf"^第[^章]*章{SPACE}*", "")
+    c = F.regexp_replace(c, rf"(?i)^chapter{SPACE}+[0-9]+{SPACE}*", "")
+    c = F.regexp_replace(c, rf"^[0-9]+(?:{SPACE}|[.:-])+", "")
     return F.lower(squeeze(c))
 
 
@@ -259,6 +313,15 @@ def resolve_url(base: Column, current: Column, value: Column) -> Column:
     )
 
 
+def url_parts(c: Column) -> Column:
+    """struct<scheme, host, port, path, query, fragment> of a URL as it is written, host in lower case;
+    parts that aren't there are null, the path is / then."""
+    pattern = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+    part = lambda k: F.nullif(F.regexp_extract(c, pattern, k), F.lit(""))
+    path = F.when(c.rlike(pattern), F.coalesce(part(4), F.lit("/")))
+    return F.struct(F.lower(part(1)).alias("scheme"), F.lower(part(2)).alias("host"), part(3).cast("int").alias("port"), path.alias("path"), part(5).alias("query"), part(6).alias("fragment"))
+
+
 def slug(c: Column) -> Column:
     """Lower-case ASCII letters and digits with single dashes; the fingerprint where none are left."""
     s = F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
@@ -286,6 +349,20 @@ def digest(c: Column, algorithm: str) -> Column:
     return {"md5": lambda: F.md5(data), "sha1": lambda: F.sha1(data), "sha256": lambda: F.sha2(data, 256), "sha512": lambda: F.sha2(data, 512)}.get(algorithm.lower().replace("-", ""), lambda: F.lit(""))()
 
 
+def hmac_digest(c: Column, secret: str, algorithm: str = "sha256") -> Column:
+    """Hex HMAC from two digests of the engine; empty for an algorithm that isn't there."""
+    hashes = {"md5": (64, F.md5), "sha1": (64, F.sha1), "sha256": (64, lambda x: F.sha2(x, 256)), "sha512": (128, lambda x: F.sha2(x, 512))}
+    if algorithm.lower().replace("-", "") not in hashes:
+        return F.lit("")
+    block, own = hashes[algorithm.lower().replace("-", "")]
+    key = secret.encode()
+    if len(key) > block:
+        key = hashlib.new(algorithm.lower().replace("-", ""), key).digest()
+    key = key.ljust(block, b"\0")
+    inner, outer = (F.unhex(F.lit(bytes(k ^ x for k in key).hex())) for x in (0x36, 0x5C))
+    return own(F.concat(outer, F.unhex(own(F.concat(inner, F.encode(c, "UTF-8"))))))
+
+
 def to_hex(c: Column) -> Column:
     return F.lower(F.hex(F.encode(c, "UTF-8")))
 

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.plans.rules import Document, Unsupported, compile_any, complete, substitute
@@ -121,17 +121,38 @@ def flat_pairs(values: Column) -> Column:
 
 def follow_pages(start: DataFrame, pages: DataFrame, most: int = 50) -> DataFrame:
     """Follows links from page to page: start (key, url) over pages (url, next_url), one row per page met
-    (key, step, url). A blank link, a page met before or ``most`` pages end a walk. Each round is one
-    join of the walks still open, cut by a stored table; the visited list is bounded by ``most``."""
-    links = pages.groupBy("url").agg(F.min("next_url").alias("next_url"))
-    walk = start.select("key", "url", F.lit(0).alias("step"), F.array("url").alias("seen")).filter(F.length(F.trim("url")) > 0)
-    out = None
-    for k in range(most):
-        here = stage(walk.join(links, "url"), f"walk-{k}")
-        rows = here.select("key", "step", "url")
-        out = rows if out is None else out.unionByName(rows)
-        walk = here.filter((F.length(F.trim(F.coalesce("next_url", F.lit("")))) > 0) & ~F.array_contains("seen", F.col("next_url")))
-        walk = walk.select("key", F.col("next_url").alias("url"), (F.col("step") + 1).alias("step"), F.concat("seen", F.array("next_url")).alias("seen"))
-        if walk.isEmpty():
-            break
-    return out
+    (key, step, url). A blank link, a missing page, a page met before or ``most`` pages end a walk. Of
+    several links of a page the least counts.
+
+    Links are stored once; jumps over 1, 2, 4 ... pages are joined to each other, and walks grow by
+    each of them, so ``most`` pages take its logarithm in joins. A key may begin several walks. A page that a walk meets again has its
+    first step there; all that follows is met again too.
+    """
+    links = pages.filter(F.length(F.trim("url")) > 0).groupBy("url").agg(F.min("next_url").alias("next_url"))
+    known = stage(links, "links")
+    jump = known.select("url", F.col("next_url").alias("to")).filter(F.length(F.trim("to")) > 0).join(known.select(F.col("url").alias("to")), "to")
+    walk = start.select("key", "url").join(known.select("url"), "url").select("key", F.col("url").alias("begin"), F.lit(0).alias("step"), "url")
+    span = 1
+    while span < most:
+        jump = stage(jump.select("url", "to"), f"jump-{span}")
+        walk = walk.unionByName(walk.join(jump, "url").select("key", "begin", (F.col("step") + span).alias("step"), F.col("to").alias("url")))
+        jump = jump.join(jump.select(F.col("url").alias("to"), F.col("to").alias("further")), "to").select("url", F.col("further").alias("to"))
+        span *= 2
+    return walk.filter(F.col("step") < most).groupBy("key", "begin", "url").agg(F.min("step").alias("step")).select("key", "step", "url")
+
+
+def paged_content(start: DataFrame, pages: DataFrame, most: int = 50, between: str = "") -> DataFrame:
+    """key, pages (how many), content: what the pages of each walk of follow_pages() hold (pages: url,
+    next_url, content), one after the other; nulls are empty. A walk has ``most`` pages at most."""
+    text = pages.groupBy("url").agg(F.min(F.struct("next_url", "content")).alias("x")).select("url", F.coalesce("x.content", F.lit("")).alias("content"))
+    met = follow_pages(start, pages, most).join(text, "url")
+    listed = F.array_sort(F.collect_list(F.struct("step", "content")))
+    return met.groupBy("key").agg(F.count("*").alias("pages"), F.array_join(F.transform(listed, lambda x: x["content"]), between).alias("content"))
+
+
+def paged_rows(start: DataFrame, pages: DataFrame, rows: DataFrame, most: int = 50) -> DataFrame:
+    """key, pos and the rows (url, row_index, ...) of all pages of each walk, page by page; pos counts
+    from 0 over a walk. Rows of one walk are put in order by one task, on disk."""
+    met = follow_pages(start, pages, most).join(rows, "url")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("step", "row_index")) - 1
+    return met.withColumn("pos", place).select("key", "pos", *(c for c in rows.columns if c != "row_index"))

@@ -3,7 +3,7 @@ repeated in their own text. One Arrow stage for whatever is asked."""
 
 from __future__ import annotations
 
-import hmac
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import ENTITIES
+from quire.functions.text import ENTITIES, LONGEST_ENTITY, fnv1a64
 from quire.session import spread
 
 # Some characters whose two Chinese forms differ, traditional to simplified.
@@ -20,17 +20,20 @@ SIMPLER = dict(zip("萬與專業東絲兩嚴喪個豐臨為麗舉義烏樂喬習
                    "万与专业东丝两严丧个丰临为丽举义乌乐乔习乡书买乱争于云亚产亲亿仅从仓仪们价众优会伞伟传伤伦伪体余佣侧侨债倾偿储儿党兰关兴养兽内冈册写军农冯冲决况冻净准凉减凑龙说话语读进过还这边达远运连选门问间开阅页头题颜类风飞马验鱼鸟点"))
 _TO_SIMPLE = str.maketrans(SIMPLER)
 _TO_TRADITIONAL = str.maketrans({v: k for k, v in SIMPLER.items()})
-_ENTITY = re.compile(r"&(?:#([0-9]{1,7})|#[xX]([0-9a-fA-F]{1,6})|([A-Za-z]{2,8}));")
+_ENTITY = re.compile(r"&([^;]*);", re.S)
 
 
 def decode_entities(s: str) -> str:
-    """Named entities of the usual set and numbers; an unknown one stays as it is."""
+    """As functions.text.decode_entities()."""
 
     def put(m: re.Match[str]) -> str:
-        if m[3]:
-            return ENTITIES.get(m[3], m[0])
-        n = int(m[1]) if m[1] else int(m[2], 16)
-        return chr(n) if 0 < n < 0x110000 and not 0xD800 <= n < 0xE000 else m[0]
+        name = m[1]
+        if name in ENTITIES:
+            return ENTITIES[name]
+        if not (n := re.fullmatch(r"#(?:[xX]([0-9a-fA-F]{1,8})|0*([0-9]{1,10}))", name)) or len(name) > LONGEST_ENTITY:
+            return m[0]
+        code = int(n[1], 16) if n[1] else int(n[2])
+        return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
 
     return _ENTITY.sub(put, s) if "&" in s else s
 
@@ -48,13 +51,6 @@ def without_title(content: str, book: str, title: str) -> str:
     return rest
 
 
-def fnv1a64(s: str) -> str:
-    h = 0xCBF29CE484222325
-    for b in s.encode("utf-8", "replace"):
-        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return f"{h:016x}"
-
-
 def normalise(s: str, form: str | None = "NFC", half_width: bool = False, entities: bool = False, squeeze: bool = False, script: str | None = None) -> str:
     """Mark, form, width, entities, script, line ends, empty lines, white space, edges: in this order."""
     s = s.removeprefix("﻿")
@@ -72,20 +68,21 @@ def normalise(s: str, form: str | None = "NFC", half_width: bool = False, entiti
 
 def normalise_texts(df: DataFrame, key: str, text: str, **options: object) -> DataFrame:
     """key, text, n_chars and FNV-1a of every text under the options of normalise(); null stays null."""
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, text string, n_chars int, fingerprint string"
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, text string, n_chars int"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [None if s is None else normalise(s, **options) for s in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array([None if s is None else len(s) for s in out], pa.int32()), pa.array([None if s is None else fnv1a64(s) for s in out], pa.string())], [key, "text", "n_chars", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array([None if s is None else len(s) for s in out], pa.int32())], [key, "text", "n_chars"])
 
-    return spread(df.select(F.col(f"`{key}`"), F.col(f"`{text}`"))).mapInArrow(run, schema)
+    out = spread(df.select(F.col(f"`{key}`"), F.col(f"`{text}`"))).mapInArrow(run, schema)
+    return out.withColumn("fingerprint", fnv1a64(F.col("text")))
 
 
 def chapter_documents(df: DataFrame, key: str, book: str, title: str, text: str) -> DataFrame:
     """key, content, paragraphs, char_len, fingerprint, valid of chapters: normalised, without their own
     title, cut into paragraphs. Texts with nothing left are not valid."""
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, content string, paragraphs array<string>, char_len int, fingerprint string, valid boolean"
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, content string, paragraphs array<string>, char_len int, valid boolean"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -94,19 +91,21 @@ def chapter_documents(df: DataFrame, key: str, book: str, title: str, text: str)
                 lines = [x.rstrip() for x in normalise(s or "").split("\n")]
                 content.append(without_title(re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip(), name or "", own or ""))
             parts = [[p.strip() for p in s.split("\n\n") if p.strip()] for s in content]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(content, pa.string()), pa.array(parts, pa.list_(pa.string())), pa.array(map(len, content), pa.int32()), pa.array(map(fnv1a64, content), pa.string()), pa.array([bool(s) for s in content])], [key, "content", "paragraphs", "char_len", "fingerprint", "valid"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(content, pa.string()), pa.array(parts, pa.list_(pa.string())), pa.array(map(len, content), pa.int32()), pa.array([bool(s) for s in content])], [key, "content", "paragraphs", "char_len", "valid"])
 
-    return spread(df.select(*(F.col(f"`{c}`") for c in (key, book, title, text)))).mapInArrow(run, schema)
+    out = spread(df.select(*(F.col(f"`{c}`") for c in (key, book, title, text)))).mapInArrow(run, schema)
+    return out.withColumn("fingerprint", fnv1a64(F.col("content")))
 
 
-def keyed_digest(df: DataFrame, key: str, text: str, secret: str, algorithm: str = "sha256") -> DataFrame:
-    """key and the hex HMAC of every text; null for null, empty for an algorithm that isn't there."""
-    known = algorithm if algorithm in ("md5", "sha1", "sha256", "sha512") else None
+def rare_digest(df: DataFrame, key: str, text: str, algorithm: str = "sm3") -> DataFrame:
+    """key and the hex digest of every text by an algorithm that the engine hasn't; null for null, empty
+    where the worker's library hasn't it either."""
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, digest string"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = algorithm in hashlib.algorithms_available
         for b in batches:
-            out = [None if s is None else hmac.new(secret.encode(), s.encode(), known).hexdigest() if known else "" for s in b.column(1).to_pylist()]
+            out = [None if s is None else hashlib.new(algorithm, s.encode()).hexdigest() if there else "" for s in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], [key, "digest"])
 
     return df.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, schema)

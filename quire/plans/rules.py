@@ -14,8 +14,10 @@ from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
 
 from quire.functions import dom, jsonpath
+from quire.plans import scripts
+from quire.plans.scripts import Unsupported
 
-#: Scripts a rule may name, in the place of a script engine: value, variables → value.
+#: Scripts that are a name: value, variables → value. Others are read by quire.plans.scripts.
 FUNCTIONS: dict[str, Callable[[str, dict[str, str]], str]] = {
     "trim": lambda v, _: v.strip(),
     "lower": lambda v, _: v.lower(),
@@ -24,8 +26,10 @@ FUNCTIONS: dict[str, Callable[[str, dict[str, str]], str]] = {
 }
 
 
-class Unsupported(ValueError):
-    """A script that no named function stands for."""
+def register(name: str, function: Callable[[str, dict[str, str]], str]) -> None:
+    """Lets a script of this name run as a function of a value and the rule's variables. Scripts are
+    looked up when a rule runs, so the function must be registered where workers import it."""
+    FUNCTIONS[name] = function
 
 
 class Document:
@@ -161,13 +165,23 @@ def combine(op: str, results: list[list[str]]) -> list[str]:
     return jsonpath.interleave(results) if op == "%%" else [x for r in results for x in r]
 
 
+@dataclass(frozen=True)
+class Segment:
+    """A stretch of a rule: branches of selectors joined by an operator, or a script."""
+
+    op: str = ""
+    selectors: tuple[str, ...] = ()
+    script: str = ""
+
+
 @dataclass(frozen=True)
 class RawRule:
+    """Segments run in turn: each value of one goes to the next; a value that a script or a later
+    selector can't take is dropped. A script that nothing stands for is Unsupported if no value is left."""
+
     mode: str
-    op: str
-    selectors: tuple[str, ...]
+    segments: tuple[Segment, ...]
     suffix: Suffix | None = None
-    scripts: tuple[str, ...] = ()
     puts: tuple[tuple[str, str], ...] = ()
     gets: bool = False
 
@@ -175,14 +189,30 @@ class RawRule:
         scope = {} if scope is None else scope
         for name, rule in self.puts:
             scope[name] = next(iter(compile_rule(rule).run(doc, scope)), "") if rule.startswith(("$", "/", "@", ".", "#")) else rule
-        selectors = [substitute(s, scope, doc) for s in self.selectors] if self.gets else list(self.selectors)
-        results = [self.select(doc, s) for s in selectors]
-        values = combine(self.op, results) if self.op else results[0]
-        for s in self.scripts:
-            values = [run_script(s, v, scope) for v in values]
+        values: list[str] = []
+        for k, segment in enumerate(self.segments):
+            if k == 0:
+                values = [doc.text] if segment.script else self.select(doc, segment, scope)
+                if not segment.script:
+                    continue
+            found: list[str] = []
+            failed: ValueError | None = None
+            for v in values:
+                try:
+                    found += [run_script(segment.script, v, scope)] if segment.script else self.select(Document(v), segment, scope)
+                except ValueError as e:
+                    failed = e
+            if failed and not found and segment.script:
+                raise failed
+            values = found
         return [self.suffix.apply(v) for v in values] if self.suffix else values
 
-    def select(self, doc: Document, selector: str) -> list[str]:
+    def select(self, doc: Document, segment: Segment, scope: dict[str, str]) -> list[str]:
+        selectors = [substitute(s, scope, doc) for s in segment.selectors] if self.gets else segment.selectors
+        results = [self.one(doc, s) for s in selectors]
+        return combine(segment.op, results) if segment.op else results[0]
+
+    def one(self, doc: Document, selector: str) -> list[str]:
         if not selector:
             return [doc.text]
         if self.mode == "json":
@@ -195,7 +225,7 @@ css_plan_of = lru_cache(4096)(css_plan)
 
 def substitute(text: str, scope: dict[str, str], doc: Document | None = None) -> str:
     """@get:{name} by the variable or nothing; {{$.path}} by its first value or nothing, {{name}} by the
-    variable, or left as it is."""
+    variable, any other {{script}} by its value; what has none is left as it is."""
     text = re.sub(r"@get:\{([^}]*)\}", lambda m: scope.get(m[1], ""), text)
 
     def template(m: re.Match[str]) -> str:
@@ -205,16 +235,24 @@ def substitute(text: str, scope: dict[str, str], doc: Document | None = None) ->
                 return next(iter(jsonpath.evaluate(inner, doc.json)), "")
             except ValueError:
                 return ""
-        return scope.get(inner, m[0])
+        if inner in scope or re.fullmatch(r"[\w.-]+", inner):
+            return scope.get(inner, m[0])
+        try:
+            return run_script(inner, doc.text if doc is not None else "", scope)
+        except ValueError:
+            return m[0]
 
     return re.sub(r"\{\{(.+?)\}\}", template, text)
 
 
-def run_script(name: str, value: str, scope: dict[str, str]) -> str:
-    try:
-        return FUNCTIONS[name.strip().rstrip(";")](value, scope)
-    except KeyError:
-        raise Unsupported(f"no function named {name.strip()[:40]!r}") from None
+def run_script(source: str, value: str, scope: dict[str, str]) -> str:
+    """A script's value as text: a named function, or a script in the language of quire.plans.scripts."""
+    if own := FUNCTIONS.get(source.strip().rstrip(";")):
+        return own(value, scope)
+    found = scripts.evaluate(source, value, scope)
+    if found is None:
+        raise ValueError("a script without a value")
+    return scripts.text(found)
 
 
 @lru_cache(4096)
@@ -233,30 +271,57 @@ def compile_rule(rule: str) -> RawRule:
     rule = re.sub(r"@put:(\{[^}]*\})", put, rule)
     mode, body = mode_of(rule)
     body, _, tail = body.partition("##")
-    pieces = re.split(r"<js>(.*?)</js>|@js:(.*)", body, flags=re.S)
-    scripts = tuple(p for k, p in enumerate(pieces) if k % 3 and p)
-    body = pieces[0].strip()
     suffix = None
     if tail:
         parts = tail.split("##")
         suffix = Suffix(parts[0], parts[1] if len(parts) > 1 else "", len(parts) > 2)
-    op, selectors = branches(body)
     gets = "@get:" in body or "{{" in body
-    if not gets:
-        for s in selectors:
-            if mode == "json":
-                for p in re.split(r"\|\||%%|&&", s) if "?(" not in s else ():
-                    if p.strip().startswith("$"):
-                        jsonpath.parse(p.strip())
-            elif mode == "css" and s:
-                css_plan_of(s)
-    return RawRule(mode, op, tuple(selectors), suffix, scripts, tuple(puts), gets)
+    segments: list[Segment] = []
+    pieces = re.split(r"<js>(.*?)</js>|@js:(.*)", body, flags=re.S)
+    for k, piece in enumerate(pieces):
+        text = (piece or "").strip()
+        if k % 3:
+            segments += [Segment(script=text)] if text else []
+        elif text or len(pieces) == 1:
+            op, selectors = branches(text)
+            segments.append(Segment(op, tuple(selectors)))
+            if not gets:
+                check(mode, selectors)
+    return RawRule(mode, tuple(segments), suffix, tuple(puts), gets)
+
+
+def check(mode: str, selectors: list[str]) -> None:
+    """Fails on the driver what would fail in every row."""
+    for s in selectors:
+        if mode == "json":
+            for p in re.split(r"\|\||%%|&&", s) if "?(" not in s else ():
+                if p.strip().startswith("$"):
+                    jsonpath.parse(p.strip())
+        elif mode == "css" and s:
+            css_plan_of(s)
+        elif mode == "xpath" and (names := prefixes(s)):
+            raise ValueError(f"undeclared prefix {names[0]!r} in {s!r}")
+
+
+def prefixes(expression: str) -> list[str]:
+    """Namespace prefixes of an XPath expression; axes, and what stands in quotation marks, are none."""
+    bare = re.sub(r"'[^']*'|\"[^\"]*\"", "''", expression)
+    return re.findall(r"(?<![\w.-])([A-Za-z_][\w.-]*):(?!:)[A-Za-z_*]", bare)
+
+
+IMAGE_TEXT = re.compile(r"(?:^|(?<=[@/])|(?<=&&|%%|\|\|))img((?:\[@?.+?\]|\.[-\w]+)?)([@/])[@/]*text(?:\(\))?(?=&&|%%|\|\||$)")
+
+
+def repair_images(rule: str) -> str:
+    """A rule that takes an image's text made one that takes its alternative text, as it has no other."""
+    xpath = mode_of(rule.strip())[0] == "xpath"
+    return IMAGE_TEXT.sub(lambda m: f"img{m[1]}{'/@' if xpath else '@'}alt", rule)
 
 
 def complete(rule: str, kind: str = "text") -> str:
     """A rule for an element made one for its value: @text, @href or @src (//text(), /@href ... in
     XPath). JSON, scripts, templates and rules with a suffix stay."""
-    r = rule.strip()
+    r = repair_images(rule.strip())
     if not r or "##" in r or "{{" in r or "@js:" in r or "<js>" in r or mode_of(r)[0] == "json":
         return r
     if mode_of(r)[0] == "xpath":
