@@ -52,8 +52,11 @@ def decode(data: bytes) -> tuple[str, str]:
 
 # ---- chapters of plain text ---------------------------------------------------------------------
 
-HEADING = re.compile(r"(?:第[0-9０-９零〇一二三四五六七八九十百千万两]{1,16}[章回节卷].*|卷[0-9零〇一二三四五六七八九十百千]{1,6}.{0,36}|chapter[\s\d].*)", re.I)
-LONGEST_HEADING, CHUNK = 80, 10_240
+NUMERAL = "0-9０-９零〇一二三四五六七八九十百千万两"
+HEADING = re.compile(rf"(?:第[{NUMERAL}]{{1,16}}[章回节卷].*|卷[0-9零〇一二三四五六七八九十百千]{{1,6}}.{{0,36}}|chapter[\s\d].*)", re.I)
+LONGEST_HEADING, CHUNK, RUNT = 80, 10_240, 100
+
+Span = tuple[str, str, int, int]  # title, content, and where it comes from: characters of the source
 
 
 def is_heading(line: str) -> bool:
@@ -61,24 +64,81 @@ def is_heading(line: str) -> bool:
     return 0 < len(s) <= LONGEST_HEADING and bool(HEADING.fullmatch(s))
 
 
-def split_chapters(text: str, pattern: re.Pattern[str] | None = None) -> list[tuple[str, str]]:
-    """(title, content): a heading line begins a chapter. Without a pattern the usual headings count and
-    text before the first is a preface; a text without any is one chapter, or pieces if it is long. With
-    a pattern, text before the first match is dropped."""
-    out: list[tuple[str, list[str]]] = []
-    before: list[str] = []
+def chapter_spans(text: str, pattern: re.Pattern[str] | None = None) -> list[Span]:
+    """A heading line begins a chapter. Without a pattern the usual headings count and text before the
+    first is a preface; a text without any is one chapter, or pieces if it is long. With a pattern, text
+    before the first match is dropped. A chapter comes from its heading to the next one."""
+    starts: list[tuple[str, int, int]] = []  # title, start of the heading, start of the content
+    at = 0
     for line in text.split("\n"):
         if pattern.search(line.strip()) if pattern else is_heading(line):
-            out.append((line.strip(), []))
-        else:
-            (out[-1][1] if out else before).append(line)
-    chapters = [(t, "\n".join(x).strip()) for t, x in out]
+            starts.append((line.strip(), at, min(at + len(line) + 1, len(text))))
+        at += len(line) + 1
+    ends = [a for _, a, _ in starts[1:]] + [len(text)]
+    chapters = [(t, text[c:e].strip(), a, e) for (t, a, c), e in zip(starts, ends)]
     if pattern:
         return chapters
-    start = "\n".join(before).strip()
+    first = starts[0][1] if starts else len(text)
+    before = text[:first].strip()
     if chapters:
-        return [("序章", start), *chapters] if start else chapters
-    return [("正文", start)] if len(start.encode()) <= CHUNK else [(f"正文 {k + 1}", c) for k, c in enumerate(byte_chunks(start, CHUNK))]
+        return [("序章", before, 0, first), *chapters] if before else chapters
+    return [("正文", before, 0, len(text))] if len(text.encode("utf-8", "surrogatepass")) <= CHUNK else split_by_size(text)
+
+
+def split_chapters(text: str, pattern: re.Pattern[str] | None = None) -> list[tuple[str, str]]:
+    return [(t, c) for t, c, _, _ in chapter_spans(text, pattern)]
+
+
+def split_by_size(text: str, size: int = CHUNK) -> list[Span]:
+    """Pieces that end with the first line that ends at or after ``size`` bytes; what is left over under
+    RUNT characters goes to the piece before."""
+    out: list[Span] = []
+    start = held = at = 0
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text):
+        held += len(line.encode("utf-8", "surrogatepass"))
+        at += len(line)
+        if held > size and line.endswith("\n") or at == len(text):
+            out.append((f"第{len(out) + 1}章(1)", text[start:at].strip("\n"), start, at))
+            start, held = at, 0
+    if len(out) > 1 and len(out[-1][1]) < RUNT:
+        (title, content, a, _), (_, rest, _, e) = out[-2], out[-1]
+        out[-2:] = [(title, f"{content}\n{rest}" if content and rest else content + rest, a, e)]
+    return out
+
+
+# Headings without a number, and marks that may stand round a heading.
+SPECIAL = "楔子 序章 序言 前言 引子 引言 后记 尾声 终章 终卷 结语 prologue epilogue prolog epilog".split()
+AROUND = ["【】", "《》", "[]", "「」", "“”"]
+BOOK_HEADING = re.compile(rf"第[{NUMERAL}亿壹贰叁肆伍陆柒捌玖拾佰仟]+[章节卷回部篇].*|chapter\s*(?:[0-9]+|[ivxlcdm]+)(?![0-9ivxlcdm]).*|番外.{{0,20}}|{'|'.join(SPECIAL)}", re.I | re.S)
+
+
+def is_book_heading(line: str) -> bool:
+    """The wider sense of a heading: up to 50 characters, parts and sections too, Roman numerals,
+    headings without a number, and one pair of brackets round any of them."""
+    s = line.strip()
+    if not 0 < len(s) <= 50:
+        return False
+    inner = next((s[1:-1] for a, b in AROUND if len(s) > 2 and s[0] == a and s[-1] == b), None)
+    return bool(BOOK_HEADING.fullmatch(s)) or inner is not None and bool(BOOK_HEADING.fullmatch(inner))
+
+
+def read_text(text: str, with_title: bool = True, least: int = 0) -> tuple[str, list[tuple[str, str]]]:
+    """A plain text's title (its first line, if that is no heading) and chapters by is_book_heading(): text
+    before the first is 序, a text without any is 正文; chapters under ``least`` characters are merged."""
+    lines = [x.rstrip() for x in text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n").split("\n")]
+    own = lambda x: "\n".join(x).strip("\n") if any(map(str.strip, x)) else ""
+    first = next((k for k, x in enumerate(lines) if x.strip()), len(lines))
+    title = ""
+    if with_title and first < len(lines) and not is_book_heading(lines[first]):
+        title, lines = lines[first].strip(), lines[first + 1 :]
+    at = [k for k, x in enumerate(lines) if is_book_heading(x)]
+    if not at:
+        body = own(lines)
+        return title, [("正文", body)] if body else []
+    found = [(lines[a].strip(), own(lines[a + 1 : e])) for a, e in zip(at, [*at[1:], len(lines)])]
+    if before := own(lines[: at[0]]):
+        found.insert(0, ("序", before))
+    return title, merge_short(found, least) if least else found
 
 
 def byte_chunks(text: str, size: int) -> list[str]:
@@ -93,6 +153,36 @@ def byte_chunks(text: str, size: int) -> list[str]:
     return out
 
 
+def flatten_toc(items: list[dict]) -> list[dict]:
+    """Entries (title, href, level, place) of a tree of {title, href, children}, parents before children;
+    an explicit stack, so depth costs no recursion."""
+    out: list[dict] = []
+    stack = [(x, 0) for x in reversed(items)]
+    while stack:
+        x, level = stack.pop()
+        out.append({"title": x.get("title"), "href": x.get("href"), "level": level, "place": len(out)})
+        stack += [(c, level + 1) for c in reversed(x.get("children") or [])]
+    return out
+
+
+# Kinds of a package's resources by media type and extension.
+KINDS = {"image": ("image/", "jpg jpeg png gif webp svg bmp"), "stylesheet": ("text/css", "css"), "font": ("font/", "ttf otf woff woff2"), "audio": ("audio/", "mp3 m4a ogg wav"), "video": ("video/", "mp4 webm")}
+
+
+def resource_kind(path: str, media_type: str, cover: bool = False) -> str:
+    """cover, image, stylesheet, font, audio, video or other; document for what is read."""
+    extension = posixpath.splitext(path)[1].lstrip(".").lower()
+    if media_type in ("application/xhtml+xml", "text/html") or not media_type and extension in ("xhtml", "html", "htm"):
+        return "document"
+    kind = next((k for k, (m, x) in KINDS.items() if media_type.startswith(m) or extension in x.split()), "font" if "font" in media_type else "other")
+    return "cover" if cover and kind == "image" else kind
+
+
+def preview(html: str, most: int = 64) -> str:
+    """The first ``most`` characters of a page's visible text."""
+    return " ".join(dom.parse_html(html).text().split())[:most]
+
+
 def split_by_marker(text: str, marker: str) -> list[tuple[str, str]]:
     """Between literal markers; the first line of a part is its title."""
     out = []
@@ -309,7 +399,7 @@ def read_book(data: bytes, name: str = "") -> dict:
         else:
             text, encoding = decode(data)
             text = text.replace("\r\n", "\n").replace("\r", "\n")
-            found = {"chapters": split_chapters(text), "diagnostics": [], "encoding": encoding}
+            found = {"chapters": chapter_spans(text), "diagnostics": [], "encoding": encoding}
     except (ValueError, IndexError, struct.error) as e:
         found = {"chapters": [], "diagnostics": [f"unreadable: {e}"]}
     stem = posixpath.splitext(posixpath.basename(name))[0]
@@ -325,8 +415,10 @@ def parse_feed(text: str) -> dict:
     s = text.lstrip("﻿ \t\r\n")
     if s.startswith("{"):
         value = json.loads(s)
-        entries = [{"id": x.get("id") or x.get("url"), "title": x.get("title"), "link": x.get("url") or x.get("external_url"), "summary": x.get("summary") or x.get("content_text") or x.get("content_html"), "author": None, "published_at": x.get("date_published")} for x in value.get("items", []) if isinstance(x, dict)]
-        return {"title": value.get("title") or value.get("feed_url"), "link": value.get("home_page_url"), "entries": first_of_each(entries)}
+        if not isinstance(value.get("items"), list):
+            raise ValueError("not a feed: no items")
+        entries = [{"id": x.get("id") or x.get("url") or x.get("title"), "title": x.get("title"), "link": x.get("url") or x.get("external_url"), "summary": x.get("summary") or x.get("content_text") or x.get("content_html"), "author": None, "published_at": x.get("date_published")} for x in value.get("items", []) if isinstance(x, dict)]
+        return {"title": value.get("title") or value.get("feed_url"), "link": value.get("home_page_url"), "next": value.get("next_url"), "entries": first_of_each(entries), "items": entries}
     try:
         root = ElementTree.fromstring(s)
     except ElementTree.ParseError as e:
@@ -341,18 +433,25 @@ def parse_feed(text: str) -> dict:
             return next((c.attrib["href"] for rel in ("alternate", None) for c in links if c.attrib.get("rel") == rel), links[0].attrib["href"] if links else None)
 
         entries = [{"id": word(e, "id") or link(e) or word(e, "title"), "title": word(e, "title"), "link": link(e), "summary": word(e, "summary", "content"), "author": next((word(c, "name") for c in e if _local(c.tag) == "author"), None) or word(e, "creator"), "published_at": word(e, "updated", "published", "date")} for e in root if _local(e.tag) == "entry"]
-        return {"title": word(root, "title"), "link": link(root), "entries": first_of_each(entries)}
+        return {"title": word(root, "title"), "link": link(root), "next": next_link(root), "entries": first_of_each(entries), "items": entries}
     channel = next((e for e in root.iter() if _local(e.tag) == "channel"), root)
     found = [e for e in root.iter() if _local(e.tag) == "item"]
     entries = [{"id": word(e, "guid") or word(e, "link") or word(e, "title"), "title": word(e, "title"), "link": word(e, "link"), "summary": word(e, "description", "encoded", "summary"), "author": word(e, "author", "creator"), "published_at": word(e, "pubDate", "date")} for e in found]
-    return {"title": word(channel, "title"), "link": word(channel, "link"), "entries": first_of_each(entries)}
+    return {"title": word(channel, "title"), "link": word(channel, "link"), "next": next_link(channel), "entries": first_of_each(entries), "items": entries}
+
+
+def next_link(e: ElementTree.Element) -> str | None:
+    """Where the feed goes on: the first link of relation next."""
+    return next((c.attrib["href"].strip() for c in e.iter() if _local(c.tag) == "link" and c.attrib.get("rel") == "next" and c.attrib.get("href", "").strip()), None)
 
 
 def first_of_each(entries: list[dict]) -> list[dict]:
+    """ValueError if an entry has neither id nor link nor title."""
     seen: dict[str, dict] = {}
     for e in entries:
-        if e["id"]:
-            seen.setdefault(e["id"], e)
+        if not e["id"]:
+            raise ValueError("an entry without id, link or title")
+        seen.setdefault(e["id"], e)
     return list(seen.values())
 
 

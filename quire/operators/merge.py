@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import identity, utrim
+from quire.operators.ordered import running
 from quire.operators.tables import latest
 from quire.session import free_name
 
@@ -98,6 +101,40 @@ def journal(records: DataFrame, key: list[str], order: list[Column], unique: str
     return n.join(kept, same).select(*key, "kept_id", "discarded")
 
 
+def push_progress(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """Both sides' progress as it is pushed: of each (book, chapter, device) the latest time, then the
+    least version (not the greatest, as in merge_progress()), then the greatest fraction and title."""
+    order = [F.desc("updated_at"), F.asc("sync_version"), F.desc("progress_fraction"), F.desc("chapter_title")]
+    return latest(local.unionByName(remote), ["book_id", "chapter_index", "device_id"], order)
+
+
+def discarded(records: DataFrame, key: list[str], order: list[Column], unique: str) -> DataFrame:
+    """The rows that journal() counts: all but the kept one of each key. Null keys are keys."""
+    return records.join(latest(records, key, order).select(unique), unique, "left_anti")
+
+
+# ---- a journal of changes -----------------------------------------------------------------------
+
+
+def record_changes(log: DataFrame, device: str, arrival: str) -> DataFrame:
+    """The journal of one device: the last change of each (collection, record_id), pending, with its
+    sequence, which counts all changes in order of arrival from 1. A change of another device is an
+    error of the job that reads it. log: KEY, VALUES and a unique arrival."""
+    fail = F.raise_error(F.concat(F.lit("a change of another device: "), F.coalesce("device_id", F.lit("none")))).cast("boolean")
+    own = log.withColumn("__ok", F.when(F.col("device_id").eqNullSafe(F.lit(device)), F.lit(True)).otherwise(fail)).filter("__ok").drop("__ok")
+    numbered = running(own, [F.asc(arrival)]).withColumnRenamed("row_no", "sequence").drop("total")
+    return latest(numbered, KEY, [F.desc("sequence")]).select(*KEY, *VALUES, "sequence", F.lit("pending").alias("status"))
+
+
+def acknowledge(journal: DataFrame, package: DataFrame) -> DataFrame:
+    """The journal with the pending entries acknowledged whose record is exactly that of the package; an
+    entry that has changed since, or isn't in the package, stays as it is."""
+    sent = winners(package).select(*KEY, F.struct(*VALUES).alias("__sent"))
+    same = F.struct(*VALUES).eqNullSafe(F.col("__sent")) & (F.col("status") == "pending")
+    status = F.when(F.coalesce(same, F.lit(False)), F.lit("acknowledged")).otherwise(F.col("status"))
+    return journal.join(sent, KEY, "left").withColumn("status", status).drop("__sent")
+
+
 def retention(items: DataFrame, group: list[str], order: list[Column], most: int, time: str, cutoff: int, unique: str, preserved: DataFrame | None = None) -> DataFrame:
     """What retention removes: beyond the newest ``most`` of a group, or older than the cutoff, never
     the preserved ids. The newest are found with a limit per map task; the rest is an anti-join, so a
@@ -164,11 +201,57 @@ def diff_index(old: DataFrame, new: DataFrame, group: list[str], locator: str, c
 
 def catalog_matches(books: DataFrame, key: str) -> DataFrame:
     """Per book how many share its checksum, or its title and author (null equals null), itself counted,
-    and the least key of each class: representatives and membership instead of all pairs."""
-    by_sum = books.groupBy("checksum").agg(F.count("*").alias("same_checksum"), F.min(key).alias("first_by_checksum"))
+    and the least key of each class: representatives and membership instead of all pairs. A book
+    without a checksum shares it with none: 0 and null."""
+    by_sum = books.filter("checksum is not null").groupBy("checksum").agg(F.count("*").alias("same_checksum"), F.min(key).alias("first_by_checksum"))
     by_title = books.groupBy(F.col("title").alias("__t"), F.col("author").alias("__a")).agg(F.count("*").alias("same_title"), F.min(key).alias("first_by_title"))
-    out = books.join(by_sum, "checksum").join(by_title, F.col("title").eqNullSafe(F.col("__t")) & F.col("author").eqNullSafe(F.col("__a")))
-    return out.select(key, "same_checksum", "first_by_checksum", "same_title", "first_by_title")
+    out = books.join(by_sum, "checksum", "left").join(by_title, F.col("title").eqNullSafe(F.col("__t")) & F.col("author").eqNullSafe(F.col("__a")))
+    return out.select(key, F.coalesce("same_checksum", F.lit(0)).alias("same_checksum"), "first_by_checksum", "same_title", "first_by_title")
+
+
+def duplicate_decision(books: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
+    """What each new book (key, checksum, filename, title, author, chapters) is to the catalog (book_id and
+    the same columns), by its first match in order of book_id: exact or sameBytes by checksum; by title
+    and the rest sameBook, unrelated (another author) or edition (another number of chapters); likely
+    if it matched otherwise; insufficient without a match. A match is an equal checksum, or equal title
+    and author (null equals null)."""
+    columns = ["checksum", "filename", "title", "author", "chapters"]
+    entry = catalog.select("book_id", F.struct("book_id", *columns).alias("c"), *(F.col(c).alias(f"__{c}") for c in ("checksum", "title", "author")))
+    by_sum = entry.filter("__checksum is not null").groupBy("__checksum").agg(F.min("c").alias("a"))
+    by_title = entry.groupBy("__title", "__author").agg(F.min("c").alias("b"))
+    out = books.join(by_sum, F.col("checksum") == F.col("__checksum"), "left").join(by_title, F.col("title").eqNullSafe(F.col("__title")) & F.col("author").eqNullSafe(F.col("__author")), "left")
+    m = F.when(F.col("a").isNull() | (F.col("b")["book_id"] < F.col("a")["book_id"]), F.col("b")).otherwise(F.col("a"))
+    out = out.withColumn("m", m)
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"m.{c}"))
+    decision = (
+        F.when(F.col("m").isNull(), "insufficient")
+        .when(same("checksum") & F.col("checksum").isNotNull(), F.when(same("filename"), "exact").otherwise("sameBytes"))
+        .when(same("title") & same("author") & same("chapters"), "sameBook")
+        .when(same("title") & ~same("author"), "unrelated")
+        .when(same("title") & ~same("chapters"), "edition")
+        .otherwise("likely")
+    )
+    return out.select(key, decision.alias("decision"), F.col("m.book_id").alias("matched_id"))
+
+
+#: What each policy compares; equal and unequal decisions.
+VALIDATION = {
+    "metadata": (["byte_count"], "metadataOnly", "contentChanged"),
+    "fast": (["prefix_checksum", "suffix_checksum"], "unchanged", "uncertain"),
+    "full": (["checksum"], "unchanged", "contentChanged"),
+    "semantic": (["title", "author", "chapters"], "metadataOnly", "contentChanged"),
+}
+
+
+def change_decision(catalog: DataFrame, found: DataFrame, key: str, policy: str = "full") -> DataFrame:
+    """What became of each book found again (key, format, parser and what the policy compares) against its
+    catalog entry: removed if it has none, then formatChanged, parserChanged, then by the policy (see
+    VALIDATION)."""
+    columns, equal, unequal = VALIDATION[policy]
+    old = catalog.select(key, F.struct("format", "parser", *columns).alias("__old"))
+    same = lambda *names: reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__old.{c}")) for c in names))
+    decision = F.when(F.col("__old").isNull(), "removed").when(~same("format"), "formatChanged").when(~same("parser"), "parserChanged").when(same(*columns), equal).otherwise(unequal)
+    return found.join(old, key, "left").select(key, decision.alias("decision"))
 
 
 def first_per_id(entries: DataFrame, feed: list[str], entry: str, order: list[str]) -> DataFrame:

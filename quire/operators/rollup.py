@@ -91,6 +91,25 @@ def classify(text: Column, labels: dict[str, str]) -> Column:
     return F.filter(F.array(*(F.when(text.rlike(p), F.lit(k)) for k, p in labels.items())), lambda x: x.isNotNull())
 
 
+#: Forms of rules, by what is in a rule's text; a rule without any is a shorthand or plain.
+FORMS = {
+    "css": r"(?i)^@css:", "xpath": r"^(?:(?i)@xpath:|//)", "json": r"^(?i)@json:|\$[.\[]", "js": r"(?s)^@js:|<js>.*?</js>",
+    "template": r"\{\{.*?\}\}", "regexSuffix": r"##.+?##", "combined": r"[&|]{2}|%%", "variables": r"@put|@get",
+}
+SHORTHAND = r"^(?:[.#]|class\.|tag\.|id\.|[a-z][a-z0-9]*[@.#]|.*@(?:text|href|src|html)$)"
+
+
+def rule_forms(df: DataFrame, sections: list[str], keep: list[str]) -> DataFrame:
+    """keep and form, one row for each form of each rule of the sections (columns of JSON objects): every
+    rule is looked at by itself. Values that are no texts, and empty ones, are no rules."""
+    section = df.select(*keep, F.explode(F.array(*sections)).alias("s")).filter("s is not null")
+    field = section.select(*keep, F.explode(F.map_values(F.from_json("s", "map<string,variant>"))).alias("v"))
+    rule = field.filter(F.schema_of_variant("v") == "STRING").select(*keep, F.col("v").cast("string").alias("r")).filter("r <> ''")
+    own = classify(F.col("r"), FORMS)
+    bare = F.array(F.when(F.col("r").rlike(SHORTHAND), "shorthand").otherwise("plain"))
+    return rule.select(*keep, F.explode(F.when(F.size(own) > 0, own).otherwise(bare)).alias("form"))
+
+
 def outcome_counts(results: DataFrame, source: str, level: str, status: str, levels: list[str]) -> DataFrame:
     """Per level, how many sources passed, failed or skipped it (a level without a row is skipped), and
     the pass rate, 0 where there is none. One wide row per source, then one pass of counting."""

@@ -42,7 +42,7 @@ DIRTY = """(SELECT doc_id, CASE doc_id % 4
     WHEN 2 THEN chr(65279) || replace(text, chr(10), chr(13))
     ELSE replace(text, chr(10), ' ' || chr(10) || chr(10)) END AS t FROM documents)"""
 #: documents as fragments of pages.
-PAGES = """(SELECT doc_id, '<div class="c"><!-- ' || coalesce(source, '') || ' --><p>' || replace(replace(text, '<', '&lt;'), chr(10), '</p>' || chr(10) || '<p id="x">&nbsp;') || '</p></div>' AS t FROM documents)"""
+PAGES = """(SELECT doc_id, '<div class="c"><!-- ' || coalesce(source, '') || ' --><p>' || replace(replace(text, '<', '&lt;'), chr(10), '</p>' || chr(10) || '<p id="x">&nbsp;') || '<img class="i" src="/i/' || doc_id || '.png">&#' || (39 + doc_id % 90) || ';&#x' || printf('%x', 19968 + doc_id % 500) || ';&rsquo;&amp;#39;&#xD800;</p></div>' AS t FROM documents)"""
 
 
 def dirty(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +54,7 @@ def dirty(spark: SparkSession, d: str) -> DataFrame:
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
     body = F.replace(F.replace("text", F.lit("<"), F.lit("&lt;")), F.lit("\n"), F.lit('</p>\n<p id="x">&nbsp;'))
-    return table(spark, d, "documents").select("doc_id", F.concat(F.lit('<div class="c"><!-- '), F.coalesce("source", F.lit("")), F.lit(" --><p>"), body, F.lit("</p></div>")).alias("t"))
+    return table(spark, d, "documents").select("doc_id", F.concat(F.lit('<div class="c"><!-- '), F.coalesce("source", F.lit("")), F.lit(" --><p>"), body, F.lit('<img class="i" src="/i/'), F.col("doc_id"), F.lit('.png">&#'), 39 + F.col("doc_id") % 90, F.lit(";&#x"), F.lower(F.hex(19968 + F.col("doc_id") % 500)), F.lit(";&rsquo;&amp;#39;&#xD800;</p></div>")).alias("t"))
 
 
 def shelf(spark: SparkSession, d: str) -> DataFrame:
@@ -153,15 +153,34 @@ _ENT = "t"
 _ENT = rr("t", r"(?s)<!--.*?(?:-->|\z)", "")
 _ENT = "regexp_replace(" + _ENT + r", '(?i)</?(?:article|br|dd|div|dl|h1|h2|h3|h4|h5|h6|hr|li|p)(?:\s[^<>]*)?/?>', chr(10), 'g')"
 _ENT = rr(_ENT, "</?[A-Za-z][^<>]*>", "")
-_DEC = lambda x: x
+#: Entities by name and number, in one pass over what stands between & and ;.
+_CODE = "(CASE WHEN p[3] IN ('x', 'X') THEN CAST('0x' || p[4:-2] AS BIGINT) ELSE CAST(p[3:-2] AS BIGINT) END)"
+_ENTITY = rf"""CASE p WHEN '&nbsp;' THEN ' ' WHEN '&ensp;' THEN ' ' WHEN '&emsp;' THEN ' ' WHEN '&thinsp;' THEN '' WHEN '&zwnj;' THEN '' WHEN '&zwj;' THEN '' WHEN '&amp;' THEN '&' WHEN '&lt;' THEN '<' WHEN '&gt;' THEN '>' WHEN '&quot;' THEN '"' WHEN '&apos;' THEN chr(39)
+    WHEN '&lsquo;' THEN '‘' WHEN '&rsquo;' THEN '’' WHEN '&ldquo;' THEN '“' WHEN '&rdquo;' THEN '”' WHEN '&ndash;' THEN '–' WHEN '&mdash;' THEN '—' WHEN '&hellip;' THEN '…' WHEN '&middot;' THEN '·'
+    ELSE CASE WHEN NOT regexp_full_match(p, '&#(?:[xX][0-9a-fA-F]{{1,8}}|[0-9]{{1,10}});') THEN p WHEN {_CODE} < 1114112 AND NOT {_CODE} BETWEEN 55296 AND 57343 THEN chr(CAST({_CODE} AS INT)) ELSE p END END"""
 
 
 def _decode(x: str) -> str:
-    for name, text in T.ENTITIES.items():
-        x = f"replace({x}, '&{name};', '{text.replace(chr(39), chr(39) * 2)}')"
-    return x
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '(?s)&[^;]*;|&[^;]*\\z|[^&]+'), lambda p: {_ENTITY}), '')"
 
 
+_NAME = r"lower(regexp_extract(g, '\A<\s*/?\s*([A-Za-z0-9]+)', 1))"
+_FORMAT = rf"""array_to_string(list_transform(regexp_extract_all({rr("{x}", r"(?s)<!--.*?(?:-->|" + chr(92) + "z)", "")}, '(?s)<[^>]*>|<[^>]*\z|[^<]+'), lambda g: CASE
+    WHEN NOT regexp_full_match(g, '(?s)<.*>') OR {_NAME} = '' THEN g
+    WHEN {_NAME} IN ('article', 'br', 'dd', 'div', 'dl', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'hr', 'li', 'p') THEN chr(10)
+    WHEN {_NAME} = 'img' AND regexp_matches(g, '\ssrc="[^"]+"') THEN '<img src="' || regexp_extract(g, '\ssrc="([^"]+)"', 1) || '">' ELSE '' END), '')"""
+_INVISIBLE = r"[\x{2009}\x{200C}\x{200D}]"
+_EDGES = chr(92) + "A" + chr(92) + "n+|" + chr(92) + "n+" + chr(92) + "z"
+
+
+def _formatted(x: str) -> str:
+    return f"array_to_string(list_filter(list_transform(string_split({rr(_decode(_FORMAT.replace('{x}', x)), _INVISIBLE, '')}, chr(10)), lambda y: {TRIM('y')}), lambda y: y <> ''), chr(10))"
+
+
+_text("text_format_fragment", T.format_fragment, _formatted("t"), (pages, PAGES))
+_BARE = "regexp_replace(t, '\\A\\x{FEFF}', '')"
+_PLAIN = rr(CB.format(x=LE.format(x=rr(_decode(_BARE), _INVISIBLE, ""))), _EDGES, "")
+_text("text_extracted_content", T.extracted_content, f"CASE WHEN regexp_matches({_BARE}, '</?\\s*[A-Za-z]') THEN {_formatted(_BARE)} ELSE {_PLAIN} END")
 _text("text_strip_tags", T.strip_tags, f"array_to_string(list_filter(list_transform(string_split({_decode(_ENT)}, chr(10)), lambda x: {TRIM('x')}), lambda x: x <> ''), chr(10))", (pages, PAGES))
 _text("text_html_summary", T.summary, f"nullif({TRIM(rr(_decode(rr(rr('t', '(?s)<!--.*?(?:-->|' + chr(92) + 'z)', ''), '<[^<>]*>', ' ')), S + '+', ' '))}, '')", (pages, PAGES))
 _text("text_decode_entities", T.decode_entities, _decode("t"), (pages, PAGES))
@@ -223,15 +242,22 @@ def text_identity(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "corpus_source").select("rec_id", T.identity(F.col("bookSourceUrl")).alias("id")).filter("id is not null")
 
 
-@query(r"""SELECT step_id, CASE WHEN q <> '' THEN regexp_extract(bare, '^([^?]*)', 1) || '?' || array_to_string(list_sort(string_split(q, '&')), '&') ELSE regexp_replace(bare, '\?$', '') END AS locator
-    FROM (SELECT step_id, regexp_replace(url, '#.*', '') AS bare, regexp_extract(regexp_replace(url, '#.*', ''), '\?(.*)$', 1) AS q FROM recorded_step)""")
+@query(r"""SELECT step_id, CASE WHEN q <> '' THEN regexp_extract(bare, '^([^?]*)', 1) || '?' || q ELSE regexp_extract(bare, '^([^?]*)', 1) END AS locator
+    FROM (SELECT step_id, bare, array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: p <> '')), '&') AS q FROM (SELECT step_id, regexp_replace(url || CASE step_id % 3 WHEN 0 THEN '&&z=1&a=2#f' WHEN 1 THEN '?' ELSE '' END, '#.*', '') AS bare FROM recorded_step))""")
 def text_locator(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "recorded_step").select("step_id", T.locator_key(F.col("url")).alias("locator"))
+    more = F.when(F.col("step_id") % 3 == 0, "&&z=1&a=2#f").when(F.col("step_id") % 3 == 1, "?").otherwise("")
+    return table(spark, d, "recorded_step").select("step_id", T.locator_key(F.concat("url", more)).alias("locator"))
 
 
-@query(rf"""SELECT delivery_id, lower({TRIM(rr(rr(rr(rr(TRIM('title'), '^第[0-9０-９零〇一二三四五六七八九十百千万两]+[章回节卷集]' + chr(92) + 's*', ''), '(?i)^chapter' + chr(92) + 's+[0-9]+' + chr(92) + 's*[:.' + chr(92) + '-]?' + chr(92) + 's*', ''), '^[0-9]+' + chr(92) + 's*[.、:' + chr(92) + '-]' + chr(92) + 's*', ''), S + '+', ' '))}) AS title FROM rss_entry""")
+_NUMBERED = "CASE delivery_id % 4 WHEN 0 THEN ' 第十二章 ' || title WHEN 1 THEN 'Chapter 7  ' || title WHEN 2 THEN delivery_id || '. - ' || title ELSE title END"
+_SWITCH = lambda x: f"lower({TRIM(rr(rr(rr(rr(TRIM(x), '^第[^章]*章' + S + '*', ''), '(?i)^chapter' + S + '+[0-9]+' + S + '*', ''), '^[0-9]+(?:' + S + '|[.:-])+', ''), S + '+', ' '))})"
+
+
+@query(f"SELECT delivery_id, {_SWITCH('t')} AS title FROM (SELECT delivery_id, {_NUMBERED} AS t FROM rss_entry)")
 def text_switch_title(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "rss_entry").select("delivery_id", T.switch_title(F.col("title")).alias("title"))
+    n = F.col("delivery_id") % 4
+    t = F.when(n == 0, F.concat(F.lit(" 第十二章 "), "title")).when(n == 1, F.concat(F.lit("Chapter 7  "), "title")).when(n == 2, F.concat(F.col("delivery_id").cast("string"), F.lit(". - "), "title")).otherwise(F.col("title"))
+    return table(spark, d, "rss_entry").select("delivery_id", T.switch_title(t).alias("title"))
 
 
 @query("""SELECT doc_id, strftime(make_timestamp(doc_id * 86400123000 + 28800000000), '%Y-%m-%d %H:%M:%S') AS shanghai, strftime(make_timestamp(doc_id * 86400123000), '%Y/%m/%d') AS utc FROM documents""")
@@ -421,23 +447,46 @@ def toc_index_diff(spark: SparkSession, d: str) -> DataFrame:
     return M.diff_index(old, new, ["file_no"], "url", {"ordinal": "reordered", "title": "titleChanged", "weight": "checksumChanged"})
 
 
-@query(f"""WITH {_VERSION}, a AS (SELECT file_no, line_no, lower({TRIM(rr('title', S + '+', ' '))}) AS k FROM old), b AS (SELECT file_no, line_no, lower({TRIM(rr('title', S + '+', ' '))}) AS k FROM neu),
-  t AS (SELECT * FROM (SELECT a.file_no, a.line_no AS old_index, b.line_no AS t, row_number() OVER (PARTITION BY a.file_no, a.line_no ORDER BY abs(b.line_no - a.line_no), b.line_no) AS n FROM a JOIN b ON a.file_no = b.file_no AND a.k = b.k AND a.k <> '') WHERE n = 1)
-  SELECT a.file_no, a.line_no AS old_index, coalesce(t.t, i.line_no, f.f) AS new_index, CASE WHEN t.t IS NOT NULL THEN 'title' WHEN i.line_no IS NOT NULL THEN 'index' WHEN f.f IS NOT NULL THEN 'first' ELSE 'none' END AS matched_by
-  FROM a LEFT JOIN t ON a.file_no = t.file_no AND a.line_no = t.old_index LEFT JOIN b i ON a.file_no = i.file_no AND a.line_no = i.line_no LEFT JOIN (SELECT file_no, min(line_no) AS f FROM b GROUP BY 1) f ON a.file_no = f.file_no""")
+#: Titles of the two versions, numbered anew by the later one, so that every step of the matching is met.
+_RENUMBERED = """a AS (SELECT file_no, line_no, CASE WHEN line_no % 3 = 0 THEN '第' || line_no || '章 ' || title ELSE title END AS title FROM old),
+  b AS (SELECT file_no, line_no, CASE WHEN line_no % 3 = 0 THEN '第' || (line_no + 1) || '章 ' || title ELSE title END AS title FROM neu WHERE line_no % 4 <> 1)"""
+
+
+@query(f"""WITH {_VERSION}, {_RENUMBERED}, x AS (SELECT file_no, line_no, title, {_SWITCH('title')} AS fuzzy FROM a), y AS (SELECT file_no, line_no, title, {_SWITCH('title')} AS fuzzy FROM b),
+  m AS (SELECT x.file_no, x.line_no AS old_index, (SELECT min(line_no) FROM y WHERE y.file_no = x.file_no AND y.title = x.title) AS e, (SELECT min(line_no) FROM y WHERE y.file_no = x.file_no AND y.line_no = x.line_no) AS i,
+    (SELECT min(line_no) FROM y WHERE y.file_no = x.file_no AND y.fuzzy = x.fuzzy) AS f, (SELECT min(line_no) FROM y WHERE y.file_no = x.file_no) AS z FROM x)
+  SELECT file_no, old_index, coalesce(e, i, f, z) AS new_index, CASE WHEN e IS NOT NULL THEN 'exactTitle' WHEN i IS NOT NULL THEN 'sameIndex' WHEN f IS NOT NULL THEN 'fuzzyTitle' WHEN z IS NOT NULL THEN 'first' ELSE 'none' END AS matched_by FROM m""")
 def source_switch_match(spark: SparkSession, d: str) -> DataFrame:
+    return E.match_source(*renumbered(spark, d), ["file_no"])
+
+
+def renumbered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     old, new = versions(spark, d)
-    a, b = (x.select("file_no", F.col("line_no").alias("chapter_index"), "title") for x in (old, new))
-    return E.match_source(a, b, ["file_no"])
+    number = lambda n: F.when(F.col("line_no") % 3 == 0, F.concat(F.lit("第"), n.cast("string"), F.lit("章 "), "title")).otherwise(F.col("title"))
+    a = old.select("file_no", F.col("line_no").alias("chapter_index"), number(F.col("line_no")).alias("title"))
+    b = new.filter("line_no % 4 <> 1").select("file_no", F.col("line_no").alias("chapter_index"), number(F.col("line_no") + 1).alias("title"))
+    return a, b
 
 
-@query(f"""WITH {_VERSION}, s AS (SELECT file_no, max(line_no) AS hi, min(line_no) AS lo FROM neu GROUP BY 1)
-  SELECT o.file_no, o.title AS chapter_id, o.line_no AS old_ordinal, CASE WHEN s.hi IS NULL THEN NULL ELSE coalesce(i.x, l.x, least(greatest(o.line_no, s.lo), s.hi)) END AS new_ordinal,
-  CASE WHEN s.hi IS NULL THEN 'reset' WHEN i.x IS NOT NULL THEN 'id' WHEN l.x IS NOT NULL THEN 'locator' WHEN o.line_no BETWEEN s.lo AND s.hi THEN 'ordinal' ELSE 'clamped' END AS resolved_by
-  FROM old o LEFT JOIN s USING (file_no) LEFT JOIN (SELECT file_no, title, min(line_no) AS x FROM neu GROUP BY 1, 2) i ON o.file_no = i.file_no AND o.title = i.title LEFT JOIN (SELECT file_no, url, min(line_no) AS x FROM neu GROUP BY 1, 2) l ON o.file_no = l.file_no AND o.url = l.url""")
+_KEYOF = lambda c: f"nullif(CASE WHEN {c} IS NULL THEN NULL ELSE regexp_extract(regexp_replace({c}, '#.*', ''), '^([^?]*)', 1) END, '')"
+
+
+@query(f"""WITH {_VERSION}, c AS (SELECT file_no, title AS chapter_id, line_no * 2 AS ordinal, url AS canonical, 'o/' || url AS origin FROM neu),
+  o AS (SELECT file_no, title || CASE WHEN line_no % 2 = 0 THEN '' ELSE '?' END AS chapter_id, line_no AS ordinal, CASE WHEN line_no % 3 = 0 THEN 'o/' || url || '#x' END AS origin, CASE WHEN line_no % 5 = 0 THEN url END AS canonical FROM old),
+  l AS (SELECT file_no, k, min(struct_pack(o := ordinal, i := chapter_id)) AS x FROM (SELECT file_no, ordinal, chapter_id, {_KEYOF('canonical')} AS k FROM c UNION SELECT file_no, ordinal, chapter_id, {_KEYOF('origin')} FROM c) WHERE k IS NOT NULL GROUP BY 1, 2),
+  p AS (SELECT *, row_number() OVER (PARTITION BY file_no ORDER BY ordinal, chapter_id) - 1 AS place, count(*) OVER (PARTITION BY file_no) AS n FROM c),
+  i AS (SELECT file_no, chapter_id, min(ordinal) AS ordinal FROM c GROUP BY 1, 2), q AS (SELECT file_no, ordinal, min(chapter_id) AS chapter_id FROM c GROUP BY 1, 2), s AS (SELECT DISTINCT file_no, n FROM p)
+  SELECT o.file_no, o.chapter_id, o.ordinal AS old_ordinal, coalesce(i.ordinal, lo.x.o, lc.x.o, q.ordinal, p.ordinal) AS new_ordinal, coalesce(i.chapter_id, lo.x.i, lc.x.i, q.chapter_id, p.chapter_id) AS new_chapter_id,
+    CASE WHEN i.ordinal IS NOT NULL THEN 'exact' WHEN lo.x IS NOT NULL OR lc.x IS NOT NULL THEN 'locator' WHEN q.ordinal IS NOT NULL THEN 'ordinal' WHEN p.ordinal IS NOT NULL THEN 'nearest' ELSE 'reset' END AS resolved_by
+  FROM o LEFT JOIN i ON i.file_no = o.file_no AND i.chapter_id = o.chapter_id LEFT JOIN l lo ON lo.file_no = o.file_no AND lo.k = {_KEYOF('o.origin')} LEFT JOIN l lc ON lc.file_no = o.file_no AND lc.k = {_KEYOF('o.canonical')}
+  LEFT JOIN q ON q.file_no = o.file_no AND q.ordinal = o.ordinal LEFT JOIN s ON s.file_no = o.file_no LEFT JOIN p ON p.file_no = o.file_no AND p.place = greatest(0, least(o.ordinal, s.n - 1))""")
 def progress_resolve(spark: SparkSession, d: str) -> DataFrame:
-    old, new = (x.select("file_no", F.col("title").alias("chapter_id"), F.col("url").alias("locator"), F.col("line_no").alias("ordinal")) for x in versions(spark, d))
-    return E.resolve_progress(old, new, ["file_no"])
+    """Progress in the lists of one file against those of the next, whose ordinals leave gaps."""
+    old, new = versions(spark, d)
+    n = F.col("line_no")
+    chapters = new.select("file_no", F.col("title").alias("chapter_id"), (n * 2).alias("ordinal"), F.col("url").alias("canonical_locator"), F.concat(F.lit("o/"), "url").alias("origin_locator"))
+    progress = old.select("file_no", F.concat("title", F.when(n % 2 == 0, "").otherwise("?")).alias("chapter_id"), n.alias("ordinal"), F.when(n % 3 == 0, F.concat(F.lit("o/"), "url", F.lit("#x"))).alias("origin_locator"), F.when(n % 5 == 0, F.col("url")).alias("canonical_locator"))
+    return E.resolve_progress(progress, chapters, ["file_no"])
 
 
 # ---- merging ------------------------------------------------------------------------------------
@@ -520,10 +569,10 @@ def feed_before_seen(spark: SparkSession, d: str) -> DataFrame:
     return M.before_last_seen(entry, ["subscription_id"], "delivery_id", seen).select("subscription_id", "delivery_id")
 
 
-@query("""SELECT rec_id, count(*) OVER c AS same_checksum, min(rec_id) OVER c AS first_by_checksum, count(*) OVER t AS same_title, min(rec_id) OVER t AS first_by_title
-    FROM corpus_source WINDOW c AS (PARTITION BY coalesce(ruleSearch, '')), t AS (PARTITION BY bookSourceName, bookSourceGroup)""")
+@query("""SELECT rec_id, CASE WHEN sum IS NULL THEN 0 ELSE count(*) OVER c END AS same_checksum, CASE WHEN sum IS NOT NULL THEN min(rec_id) OVER c END AS first_by_checksum, count(*) OVER t AS same_title, min(rec_id) OVER t AS first_by_title
+    FROM (SELECT *, CASE WHEN rec_id % 5 <> 0 THEN ruleSearch END AS sum FROM corpus_source) WINDOW c AS (PARTITION BY sum), t AS (PARTITION BY bookSourceName, bookSourceGroup)""")
 def catalog_match(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "corpus_source").select("rec_id", F.md5(F.encode(F.coalesce("ruleSearch", F.lit("")), "UTF-8")).alias("checksum"), F.col("bookSourceName").alias("title"), F.col("bookSourceGroup").alias("author"))
+    s = table(spark, d, "corpus_source").select("rec_id", F.when(F.col("rec_id") % 5 != 0, F.md5(F.encode("ruleSearch", "UTF-8"))).alias("checksum"), F.col("bookSourceName").alias("title"), F.col("bookSourceGroup").alias("author"))
     return M.catalog_matches(s, "rec_id")
 
 
@@ -548,14 +597,22 @@ def run_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return R.verdicts(results(spark, d), "source_id", "level", "status", 4)
 
 
-LABELS = {"css": r"tag\.|class\.|id\.|@text|@href|^#|\"#|\"\.", "xpath": r"\"//", "json": r"\$\.", "regex": "##", "js": "@js:|<js>"}
+_FORMS = r"""f AS (SELECT rec_id, enabled, bookSourceType, section, unnest(json_keys(section)) AS k FROM (SELECT rec_id, enabled, bookSourceType, unnest([ruleSearch, ruleBookInfo, ruleToc, ruleContent, ruleExplore]) AS section FROM corpus_source) WHERE json_valid(section)),
+  r AS (SELECT rec_id, enabled, bookSourceType, json_extract_string(section, '$."' || k || '"') AS r FROM f WHERE json_type(section, '$."' || k || '"') = 'VARCHAR'),
+  t AS (SELECT rec_id, enabled, bookSourceType, r, list_filter([CASE WHEN starts_with(lower(r), '@css:') THEN 'css' END, CASE WHEN starts_with(lower(r), '@xpath:') OR starts_with(r, '//') THEN 'xpath' END, CASE WHEN starts_with(lower(r), '@json:') OR contains(r, '$.') OR contains(r, '$[') THEN 'json' END, CASE WHEN starts_with(r, '@js:') OR regexp_matches(r, '(?s)<js>.*?</js>') THEN 'js' END,
+    CASE WHEN regexp_matches(r, '\{\{.*?\}\}') THEN 'template' END, CASE WHEN regexp_matches(r, '##.+?##') THEN 'regexSuffix' END, CASE WHEN regexp_matches(r, '[&|]{2}|%%') THEN 'combined' END, CASE WHEN contains(r, '@put') OR contains(r, '@get') THEN 'variables' END], lambda x: x IS NOT NULL) AS own FROM r WHERE r <> ''),
+  l AS (SELECT rec_id, enabled, bookSourceType, unnest(CASE WHEN len(own) > 0 THEN own WHEN regexp_matches(r, '\A(?:[.#]|class\.|tag\.|id\.|[a-z][a-z0-9]*[@.#]|.*@(?:text|href|src|html)\z)') THEN ['shorthand'] ELSE ['plain'] END) AS form FROM t)"""
 
 
-@query(r"""SELECT rec_id, form FROM (SELECT rec_id, unnest(list_filter([CASE WHEN regexp_matches(r, 'tag\.|class\.|id\.|@text|@href|^#|"#|"\.') THEN 'css' END, CASE WHEN regexp_matches(r, '"//') THEN 'xpath' END, CASE WHEN regexp_matches(r, '\$\.') THEN 'json' END, CASE WHEN regexp_matches(r, '##') THEN 'regex' END, CASE WHEN regexp_matches(r, '@js:|<js>') THEN 'js' END], lambda x: x IS NOT NULL)) AS form
-    FROM (SELECT rec_id, concat_ws(' ', ruleSearch, ruleBookInfo, ruleToc, ruleContent, ruleExplore) AS r FROM corpus_source))""")
+def _forms(spark: SparkSession, d: str) -> DataFrame:
+    sections = ["ruleSearch", "ruleBookInfo", "ruleToc", "ruleContent", "ruleExplore"]
+    return R.rule_forms(table(spark, d, "corpus_source"), sections, ["rec_id", "enabled", "bookSourceType"])
+
+
+@query(f"WITH {_FORMS} SELECT DISTINCT rec_id, form FROM l")
 def rule_forms(spark: SparkSession, d: str) -> DataFrame:
-    r = F.concat_ws(" ", "ruleSearch", "ruleBookInfo", "ruleToc", "ruleContent", "ruleExplore")
-    return table(spark, d, "corpus_source").select("rec_id", F.explode(R.classify(r, LABELS)).alias("form"))
+    """The forms of all rules of a source, each rule looked at by itself."""
+    return _forms(spark, d).select("rec_id", "form").distinct()
 
 
 @query("""SELECT enabled, bookSourceType, count(*) AS sources FROM corpus_source GROUP BY GROUPING SETS ((enabled), (bookSourceType), ())""")
@@ -579,10 +636,10 @@ def export_path_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""SELECT step_id, regexp_extract(response_body, '<h1>([^<]*)</h1>', 1) AS heading, regexp_extract(response_body, '<p>([^<]*)</p>', 1) AS paragraph, regexp_extract(response_body, '<p>([^<]*)</p>', 1) AS by_path, regexp_replace(regexp_extract(response_body, '<h1>([^<]*)</h1>', 1), '[aeiou]', '*', 'g') AS replaced
-    FROM recorded_step WHERE response_body LIKE '<html><h1>%'""")
+    FROM (SELECT step_id, coalesce(response_body, '') AS response_body FROM recorded_step)""")
 def page_fields(spark: SparkSession, d: str) -> DataFrame:
     """CSS, XPath and a replaced suffix over recorded pages, all rules on one parse."""
-    recorded = table(spark, d, "recorded_step").filter("response_body like '<html><h1>%'")
+    recorded = table(spark, d, "recorded_step")
     rules = {"heading": "tag.h1@text", "paragraph": "@css:html p@text||tag.div@text", "by_path": "//p/text()", "replaced": "h1@text##[aeiou]##*"}
     return X.extract(recorded, "step_id", "response_body", rules).select("step_id", *(F.coalesce(F.get(c, F.lit(0)), F.lit("")).alias(c) for c in rules))
 
@@ -632,16 +689,20 @@ def rule_modes(spark: SparkSession, d: str) -> DataFrame:
     return fields.select("rec_id", "field", mode.alias("mode"))
 
 
-@query(r"""SELECT rec_id, trim(regexp_extract(searchUrl, '(?s)\A(.*?)(?:,\s*\{[^{].*)?\z', 1)) AS url, coalesce(nullif(upper(regexp_extract(searchUrl, '[''"]?method[''"]?\s*:\s*[''"]?(\w+)', 1)), ''), 'GET') AS method FROM corpus_source WHERE searchUrl IS NOT NULL AND regexp_matches(searchUrl, '\S') AND NOT contains(searchUrl, '@js:')""")
+@query(r"""SELECT rec_id, trim(regexp_extract(searchUrl, '(?s)\A(.*?)(?:,\s*\{[^{].*)?\z', 1)) AS url, coalesce(nullif(upper(regexp_extract(searchUrl, '[''"]?method[''"]?\s*:\s*[''"]?(\w+)', 1)), ''), 'GET') AS method, CASE WHEN rec_id % 3 = 0 THEN 'result + ' || chr(39) || '&n=' || chr(39) || rec_id END AS script FROM corpus_source WHERE searchUrl IS NOT NULL AND regexp_matches(searchUrl, '\S')""")
 def request_rules(spark: SparkSession, d: str) -> DataFrame:
-    source = table(spark, d, "corpus_source").filter("searchUrl not like '%@js:%'")
-    return B.requests(source, "rec_id", "searchUrl").select("rec_id", "url", "method")
+    """Every third rule has a script after it, which is split off."""
+    script = F.when(F.col("rec_id") % 3 == 0, F.concat("searchUrl", F.lit("@js:result + '&n='"), F.col("rec_id").cast("string"))).otherwise(F.col("searchUrl"))
+    return B.requests(table(spark, d, "corpus_source").withColumn("searchUrl", script), "rec_id", "searchUrl").select("rec_id", "url", "method", "script")
 
 
-@query(r"""SELECT rec_id, regexp_replace(replace(replace(replace(searchUrl, '{{key}}', '%E5%89%91%20x'), '{{page}}', '2'), '{{page-1}}', '1'), '<([0-9]+)(?:,[0-9]+)*>', '\1', 'g') AS url FROM corpus_source WHERE searchUrl IS NOT NULL""")
+@query(r"""SELECT rec_id, replace(replace(replace(searchUrl, '{{key}}', '%E5%89%91%20x'), '{{page}}', '2'), '{{page-1}}', '1') || CASE rec_id % 4 WHEN 0 THEN '/5/<7,8>' WHEN 1 THEN '/3?1-3' WHEN 2 THEN '/<x>/剑 x' ELSE '' END AS url FROM corpus_source WHERE searchUrl IS NOT NULL""")
 def request_urls(spark: SparkSession, d: str) -> DataFrame:
+    """Rules with lists of pages, of which the first counts, and with names for the pages around."""
     source = table(spark, d, "corpus_source").filter("searchUrl is not null")
-    return source.select("rec_id", B.expand_url(F.col("searchUrl"), {"key": "剑 x"}, 2).alias("url"))
+    n = F.col("rec_id") % 4
+    more = F.when(n == 0, "/<5,6>/<7,8>").when(n == 1, "/{{pagePlus}}?{{pageMinus}}-<3-9>").when(n == 2, "/<x>/{{keyword}}").otherwise("")
+    return source.select("rec_id", B.expand_url(F.concat("searchUrl", more), {"key": "剑 x"}, 2).alias("url"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), c AS (SELECT *, sum(CASE WHEN regexp_matches(l, '^\s*diff --git ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM l)
@@ -664,15 +725,15 @@ def _xml(c: str) -> Column:
 _ENTRY = f"coalesce(nullif({TRIM('id')}, ''), nullif({TRIM('link')}, ''), nullif({TRIM('title')}, ''))"
 
 
-@query(f"""SELECT delivery_id, {_ENTRY} AS id, nullif({TRIM('link')}, '') AS link, nullif({TRIM('published_at')}, '') AS published_at FROM rss_entry WHERE {_ENTRY} IS NOT NULL""")
+@query(f"""SELECT delivery_id, {_ENTRY} AS id, CASE WHEN {_ENTRY} IS NOT NULL THEN nullif({TRIM('link')}, '') END AS link, CASE WHEN {_ENTRY} IS NOT NULL THEN nullif({TRIM('published_at')}, '') END AS published_at, {_ENTRY} IS NULL AS failed FROM rss_entry""")
 def feed_rss(spark: SparkSession, d: str) -> DataFrame:
     """Each delivery written as an RSS feed of one item and read back."""
     e = table(spark, d, "rss_entry")
     xml = F.concat(F.lit("<?xml version='1.0'?><rss version='2.0'><channel><title>f</title><item><title>"), _xml("title"), F.lit("</title><guid>"), _xml("id"), F.lit("</guid><link>"), _xml("link"), F.lit("</link><pubDate>"), _xml("published_at"), F.lit("</pubDate></item></channel></rss>"))
-    return B.feed_entries(e.select("delivery_id", xml.alias("x")), "delivery_id", "x").select("delivery_id", "id", "link", "published_at")
+    return B.feed_entries(e.select("delivery_id", xml.alias("x")), "delivery_id", "x").select("delivery_id", "id", "link", "published_at", F.col("error").isNotNull().alias("failed"))
 
 
-@query(f"""SELECT delivery_id, {_ENTRY} AS id, nullif(link, '') AS link FROM rss_entry WHERE {_ENTRY} IS NOT NULL""")
+@query(f"""SELECT delivery_id, {_ENTRY} AS id, CASE WHEN {_ENTRY} IS NOT NULL THEN nullif(link, '') END AS link FROM rss_entry""")
 def feed_atom(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "rss_entry")
     link = F.when(F.coalesce("link", F.lit("")) != "", F.concat(F.lit("<link rel='alternate' href='"), F.replace(_xml("link"), F.lit("'"), F.lit("&apos;")), F.lit("'/>"))).otherwise("")
@@ -680,18 +741,18 @@ def feed_atom(spark: SparkSession, d: str) -> DataFrame:
     return B.feed_entries(e.select("delivery_id", xml.alias("x")), "delivery_id", "x").select("delivery_id", "id", "link")
 
 
-@query("""SELECT delivery_id, id, title, published_at FROM rss_entry WHERE nullif(id, '') IS NOT NULL""")
+@query("""SELECT delivery_id, coalesce(nullif(id, ''), nullif(title, '')) AS id, CASE WHEN coalesce(nullif(id, ''), nullif(title, '')) IS NOT NULL THEN title END AS title, CASE WHEN coalesce(nullif(id, ''), nullif(title, '')) IS NOT NULL THEN published_at END AS published_at FROM rss_entry""")
 def feed_json(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "rss_entry")
     text = F.to_json(F.struct(F.lit("f").alias("title"), F.array(F.struct(F.col("id"), F.col("title"), F.col("published_at").alias("date_published"))).alias("items")))
     return B.feed_entries(e.select("delivery_id", text.alias("x")), "delivery_id", "x").select("delivery_id", "id", "title", "published_at")
 
 
-@query(r"""SELECT delivery_id, CAST(0 AS INTEGER) AS pos, regexp_extract(summary, '<p>(\w+) <b>', 1) || ' ' || regexp_extract(summary, '<b>(\w+)</b>', 1) AS title, regexp_extract(summary, '<b>(\w+)</b>', 1) AS bold, 'https://x.test/0' AS url FROM rss_entry WHERE regexp_matches(summary, '^<p>\w+ <b>\w+</b></p>')""")
+@query(r"""SELECT delivery_id, CAST(i AS INTEGER) AS pos, nullif(trim(regexp_replace(p, '<[^>]*>', '', 'g')), '') AS title, nullif(regexp_extract(p, '<b>([^<]*)</b>', 1), '') AS bold, 'https://x.test/0' AS url
+    FROM (SELECT delivery_id, unnest(range(len(ps))) AS i, unnest(ps) AS p FROM (SELECT delivery_id, regexp_extract_all(summary, '(?s)<p>(.*?)</p>', 1) AS ps FROM rss_entry))""")
 def item_fields(spark: SparkSession, d: str) -> DataFrame:
-    """A list rule and the fields of its items over fragments of pages."""
-    e = table(spark, d, "rss_entry").filter(F.col("summary").rlike(r"^<p>\w+ <b>\w+</b></p>"))
-    return X.items(e, "delivery_id", "summary", "tag.p", {"title": "tag.p", "bold": "b@text", "url": "https://x.test/{{n}}"}, {"n": "0"})
+    """A list rule and the fields of its items over all summaries; those without a paragraph give no item."""
+    return X.items(table(spark, d, "rss_entry"), "delivery_id", "summary", "tag.p", {"title": "tag.p", "bold": "b@text", "url": "https://x.test/{{n}}"}, {"n": "0"})
 
 
 @query("""SELECT series_id AS key, CAST(row_number() OVER (PARTITION BY series_id ORDER BY first_at, file_no) - 1 AS INTEGER) AS step, CAST(file_no AS VARCHAR) AS url FROM (SELECT series_id, file_no, min(exported_at) AS first_at FROM source_export GROUP BY 1, 2)""")
@@ -722,19 +783,19 @@ def chapter_documents(spark: SparkSession, d: str) -> DataFrame:
     return N.chapter_documents(t, "doc_id", "repo", "title", "text").select("doc_id", F.size("paragraphs").alias("paragraphs"), "char_len", "fingerprint", "valid")
 
 
-@query()
+_PAD = lambda x: bytes(b ^ x for b in b"key".ljust(64, bytes(1))).hex()
+
+
+@query(f"""SELECT rec_id, sha256(unhex('{_PAD(0x5C)}') || unhex(sha256(unhex('{_PAD(0x36)}') || encode(bookSourceName)))) AS digest FROM corpus_source""")
 def codec_hmac(spark: SparkSession, d: str) -> DataFrame:
-    return N.keyed_digest(table(spark, d, "corpus_source"), "rec_id", "bookSourceName", "key")
+    return table(spark, d, "corpus_source").select("rec_id", T.hmac_digest(F.col("bookSourceName"), "key").alias("digest"))
 
 
-@query(r"""WITH f AS (SELECT rec_id, form, enabled, bookSourceType FROM (SELECT rec_id, enabled, bookSourceType, unnest(list_filter([CASE WHEN regexp_matches(r, '"//') THEN 'xpath' END, CASE WHEN regexp_matches(r, '\$\.') THEN 'json' END, CASE WHEN regexp_matches(r, '##') THEN 'regex' END], lambda x: x IS NOT NULL)) AS form FROM (SELECT rec_id, enabled, bookSourceType, concat_ws(' ', ruleSearch, ruleBookInfo, ruleToc, ruleContent, ruleExplore) AS r FROM corpus_source)))
-    SELECT form, count(*) AS sources, count(*) FILTER (enabled) AS enabled_sources, count(DISTINCT bookSourceType) AS types FROM f GROUP BY 1""")
+@query(f"""WITH {_FORMS} SELECT form, count(*) AS rules, count(DISTINCT rec_id) AS sources, count(DISTINCT rec_id) FILTER (enabled) AS enabled_sources, count(DISTINCT bookSourceType) AS types FROM l GROUP BY 1""")
 def rule_form_counts(spark: SparkSession, d: str) -> DataFrame:
-    """How many sources use each form of rule."""
-    labels = {k: LABELS[k] for k in ("xpath", "json", "regex")}
-    r = F.concat_ws(" ", "ruleSearch", "ruleBookInfo", "ruleToc", "ruleContent", "ruleExplore")
-    f = table(spark, d, "corpus_source").select("enabled", "bookSourceType", F.explode(R.classify(r, labels)).alias("form"))
-    return f.groupBy("form").agg(F.count("*").alias("sources"), F.count_if("enabled").alias("enabled_sources"), F.countDistinct("bookSourceType").alias("types"))
+    """How many rules and sources use each form."""
+    own = F.when(F.col("enabled"), F.col("rec_id"))
+    return _forms(spark, d).groupBy("form").agg(F.count("*").alias("rules"), F.countDistinct("rec_id").alias("sources"), F.countDistinct(own).alias("enabled_sources"), F.countDistinct("bookSourceType").alias("types"))
 
 
 @query("""SELECT subscription_id, count(*) AS entries, count(*) FILTER (NOT coalesce(e.read_flag, FALSE)) AS unread FROM (SELECT subscription_id, summary IS NOT NULL AS read_flag FROM rss_entry) e GROUP BY 1""")
@@ -751,46 +812,69 @@ def codec_sign(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- more of the rule engine ---------------------------------------------------------------------
 
-_H = "regexp_extract(response_body, '<h1>([^<]*)</h1>', 1)"
-_P = "regexp_extract(response_body, '<p>([^<]*)</p>', 1)"
-_RECORDED = "recorded_step WHERE response_body LIKE '<html><h1>%'"
+#: A page for every step, null where nothing was recorded: as many entries (0 to 3) as its number says.
+_BOOKS_OF = """p AS (SELECT step_id, keyword, CASE WHEN response_body IS NULL THEN 0 ELSE CAST(step_id % 4 AS INT) END AS n, response_body IS NULL AS gone FROM recorded_step),
+  k AS (SELECT step_id, keyword, n, gone, list_transform(range(n), lambda k: 'Book ' || (step_id * 10 + k)) AS book, list_transform(range(n), lambda k: (step_id % 7 + k) || ' kB') AS size, list_transform(range(n), lambda k: '/b/' || (step_id * 10 + k)) AS href FROM p)"""
+
+
+def listed_pages(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("step_id")
+    places = F.when(n % 4 > 0, F.sequence(F.lit(0), (n % 4).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    text = lambda c: c.cast("string")
+    item = lambda k: F.concat(F.lit('<li class="i'), F.when(k == 0, " first").otherwise(""), F.lit('" data-k="'), text(k), F.lit('"><a href="/b/'), text(n * 10 + k), F.lit('">Book '), text(n * 10 + k), F.lit("</a> <span>"), text(n % 7 + k), F.lit(" kB</span></li>"))
+    page = F.concat(F.lit("<html><body><h1>List</h1><ul>"), F.array_join(F.transform(places, item), ""), F.lit("</ul><p>for "), "keyword", F.lit("</p></body></html>"))
+    return table(spark, d, "recorded_step").select("step_id", F.when(F.col("response_body").isNotNull(), page).alias("page"))
 
 
 def _pages_by_rules(spark: SparkSession, d: str, rules: dict) -> DataFrame:
-    recorded = table(spark, d, "recorded_step").filter("response_body like '<html><h1>%'")
-    return X.extract(recorded, "step_id", "response_body", rules).select("step_id", *(F.array_join(c, "|").alias(c) for c in rules))
+    return X.extract(listed_pages(spark, d), "step_id", "page", rules).select("step_id", *(F.array_join(c, "|").alias(c) for c in rules))
 
 
-@query(f"""SELECT step_id, {_H} AS either, {_H} || '|' || {_P} AS both_parts, {_P} || '|' || {_H} AS mixed FROM {_RECORDED}""")
+def _of(**columns: str) -> str:
+    return f"WITH {_BOOKS_OF} SELECT step_id, " + ", ".join(f"{sql} AS {name}" for name, sql in columns.items()) + " FROM k"
+
+
+_JOIN = "array_to_string({}, '|')".format
+_KW = "CASE WHEN gone THEN '' ELSE 'for ' || keyword END"
+
+
+@query(_of(either=f"CASE WHEN n > 0 THEN {_JOIN('book')} ELSE {_KW} END", both_parts=f"CASE WHEN gone THEN '' ELSE {_JOIN(f'list_append(href, {_KW})')} END", mixed=_JOIN("flatten(list_transform(range(n), lambda j: [book[j + 1], size[j + 1]]))")))
 def rule_combinators(spark: SparkSession, d: str) -> DataFrame:
     """The first branch with a result, all branches, and branches in turn."""
-    return _pages_by_rules(spark, d, {"either": "tag.h2@text||tag.h1@text||tag.p@text", "both_parts": "tag.h1@text&&tag.p@text", "mixed": "tag.p@text%%tag.h1@text"})
+    return _pages_by_rules(spark, d, {"either": "tag.h2@text||class.i@tag.a@text||tag.p@text", "both_parts": "class.i@tag.a@href&&tag.p@text", "mixed": "class.i@tag.a@text%%class.i@tag.span@text"})
 
 
-@query(f"""SELECT step_id, regexp_replace({_P}, '[aeiou]+', '-', 'g') AS every, regexp_extract({_P}, '^(\\w)', 1) || '!' AS first_only, '' AS no_match, replace({_P}, '(', 'x') AS literal FROM {_RECORDED}""")
+@query(_of(every=_JOIN("list_transform(size, lambda x: regexp_replace(x, '[0-9]+', 'N', 'g'))"), first_only=_JOIN("list_transform(book, lambda x: regexp_extract(x, 'k (.)', 1) || '!')"), no_match=_JOIN("list_transform(book, lambda x: CASE WHEN regexp_matches(x, '7{2}') THEN 'x' ELSE '' END)"), literal=_JOIN("list_transform(book, lambda x: replace(x, ' ', '_'))")))
 def rule_suffixes(spark: SparkSession, d: str) -> DataFrame:
-    """What follows ##: every match, the first match alone, no match, and a pattern that isn't one."""
-    return _pages_by_rules(spark, d, {"every": "tag.p@text##[aeiou]+##-", "first_only": "tag.p@text##^(\\w)##$1!###", "no_match": "tag.p@text##[0-9]{9}##x###", "literal": "tag.p@text##(##x"})
+    """What follows ##: every match, the first match alone, a match that most haven't, and a mark."""
+    return _pages_by_rules(spark, d, {"every": "tag.span@text##[0-9]+##N", "first_only": "tag.a@text##k (.)##$1!###", "no_match": "tag.a@text##7{2}##x###", "literal": "tag.a@text## ##_"})
 
 
-@query(f"""SELECT step_id, {_H} AS saved, upper({_P}) AS scripted, '' AS unsupported, {_P} AS chained FROM {_RECORDED}""")
+@query(_of(saved="CASE WHEN n > 0 THEN book[1] ELSE '' END", scripted=_JOIN("list_transform(book, lambda x: upper(x) || '/' || length(x))"), between=_JOIN("list_transform(href, lambda x: x || '?from=list')"), unsupported="''", chained=f"CASE WHEN gone THEN '' WHEN n > 0 THEN {_JOIN('list_transform(book, lambda x: x[6:])')} ELSE 'none' END", referred=_JOIN(r"list_transform(book, lambda x: regexp_replace(x, '^(\w+) (\d+)', '\2 \1'))")))
 def rule_variables(spark: SparkSession, d: str) -> DataFrame:
-    """A value put aside and taken again, a named function, a script without one, and a step chain."""
-    chain = [{"kind": "css", "selector": "p"}, {"kind": "regexExtract", "pattern": r"^(.+)$", "group": 1, "first": True}, {"kind": "fallback", "values": ["none"]}]
-    saved = "@put:{\"h\":\"//h1/text()\"}//h1[.='@get:{h}']/text()"
-    rules = {"saved": saved, "scripted": "tag.p@text<js>upper</js>", "unsupported": "tag.p@text@js:java.ajax(result)", "chained": chain}
+    """A value put aside and taken again, scripts, a selector between them, a script that the language
+    hasn't, and step chains with groups, fallbacks and references."""
+    chain = [{"kind": "css", "selector": "li a"}, {"kind": "regexExtract", "pattern": r"^Book (?P<n>.+)$", "group": "n", "first": True}, {"kind": "fallback", "values": ["none"]}]
+    swapped = [{"kind": "xPath", "expression": "//li/a"}, {"kind": "regexReplace", "pattern": r"^(\w+) (\d+)", "replacement": "$2 $1"}]
+    rules = {
+        "saved": "@put:{\"h\":\"//li[1]/a/text()\"}//a[.='@get:{h}']/text()", "scripted": "tag.a@text<js>result.toUpperCase() + '/' + result.length</js>", "between": "tag.li@html<js>result.trim()</js>tag.a@href<js>result + '?from=' + 'LIST'.toLowerCase()</js>",
+        "unsupported": "tag.a@text@js:java.ajax(result)", "chained": chain, "referred": swapped,
+    }
     return _pages_by_rules(spark, d, rules)
 
 
-@query(f"""SELECT step_id, {_P} AS by_contains, {_H} AS by_place, {_P} AS by_next, {_P} AS by_not, '' AS out_of_range, '<p>' || {_P} || '</p>' AS outer_html FROM {_RECORDED}""")
+@query(_of(by_contains=_JOIN("list_filter(book, lambda x: contains(x, '7'))"), by_place="CASE WHEN n > 1 THEN book[2] ELSE '' END", from_end="CASE WHEN n > 0 THEN href[n] ELSE '' END", by_next=_JOIN("book[2:]"), by_not=_JOIN("book[2:]"), less=_JOIN("book[1:2]"), having=_JOIN("book"), attribute=_JOIN("list_transform(range(n), lambda j: CAST(j AS VARCHAR))"), own_text=_JOIN("list_filter(size, lambda x: x LIKE '3%')")))
 def css_filters(spark: SparkSession, d: str) -> DataFrame:
-    """Selectors with filters by text, by place among those found, by neighbour and by negation."""
-    return _pages_by_rules(spark, d, {"by_contains": "p:contains( )@text", "by_place": "h1:eq(0)@text", "by_next": "h1 + p@text", "by_not": "html > :not(h1)@text", "out_of_range": "tag.p.5@text", "outer_html": "tag.p@html"})
+    """Selectors with filters by text, by place among those found, by neighbour, by negation and by what
+    they hold."""
+    rules = {"by_contains": "a:contains(7)@text", "by_place": "class.i.1@tag.a@text", "from_end": "class.i.-1@a@href", "by_next": "li + li a@text", "by_not": "li:not(.first) a@text", "less": "a:lt(2)@text", "having": "li:has(span) a@text", "attribute": "class.i@data-k", "own_text": "span:matchesOwn(^3)@text"}
+    return _pages_by_rules(spark, d, rules)
 
 
-@query(f"""SELECT step_id, {_H} AS by_place, {_P} AS by_sibling, '1' AS counted, {_P} AS by_function, {_H} || '|' || {_P} AS united FROM {_RECORDED}""")
+@query(_of(by_place="CASE WHEN n > 1 THEN book[2] ELSE '' END", by_sibling=_JOIN("book[2:]"), counted="CASE WHEN gone THEN '' ELSE CAST(n AS VARCHAR) END", by_function=_KW, united=f"CASE WHEN gone THEN '' ELSE {_JOIN("list_prepend('List', href)")} END", last="CASE WHEN n > 0 THEN href[n] ELSE '' END", by_attribute="CASE WHEN n > 2 THEN size[3] ELSE '' END"))
 def xpath_pages(spark: SparkSession, d: str) -> DataFrame:
-    return _pages_by_rules(spark, d, {"by_place": "//h1[1]/text()", "by_sibling": "//h1/following-sibling::p/text()", "counted": "@XPath:count(//p)", "by_function": "@XPath:normalize-space(//p)", "united": "//h1/text() | //p/text()"})
+    rules = {"by_place": "//li[2]/a/text()", "by_sibling": "//li/following-sibling::li/a/text()", "counted": "@XPath:count(//li)", "by_function": "@XPath:normalize-space(//p)", "united": "//h1/text() | //a/@href", "last": "//li[last()]/a/@href", "by_attribute": "//li[@data-k='2']/span/text()"}
+    return _pages_by_rules(spark, d, rules)
 
 
 @query("""SELECT export_id, CAST(len(json_keys(raw)) AS VARCHAR) AS n_fields, CAST(length(json_extract_string(raw, '$.bookSourceName')) AS VARCHAR) AS name_length, json_extract_string(raw, '$.bookSourceName') || '/' || json_extract_string(raw, '$.sourceId') AS joined, json_extract_string(raw, '$.sourceId') || ' (id)' AS templated, '' AS missing FROM source_export""")
@@ -800,11 +884,9 @@ def json_functions(spark: SparkSession, d: str) -> DataFrame:
     return found.select("export_id", *(F.array_join(c, "|").alias(c) for c in rules))
 
 
-@query(r"""SELECT rec_id, CASE WHEN s = '' THEN NULL ELSE s END AS slug FROM (SELECT rec_id, regexp_replace(regexp_replace(lower(bookSourceName), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM corpus_source)""")
+@query(r"""SELECT rec_id, CASE WHEN s = '' THEN f ELSE s END AS slug FROM (SELECT rec_id, regexp_replace(regexp_replace(lower(bookSourceName), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s, """ + _FNV.format(x="bookSourceName") + """ AS f FROM corpus_source)""")
 def text_slug(spark: SparkSession, d: str) -> DataFrame:
-    """Slugs of names; where a fingerprint stands in for one, null here."""
-    s = T.slug(F.col("bookSourceName"))
-    return table(spark, d, "corpus_source").select("rec_id", F.when(s == T.fnv1a64(F.col("bookSourceName")), F.lit(None)).otherwise(s).alias("slug"))
+    return table(spark, d, "corpus_source").select("rec_id", T.slug(F.col("bookSourceName")).alias("slug"))
 
 
 @query("""SELECT rec_id, coalesce(o.title, b.title) AS title, coalesce(o.url, b.url) AS url FROM (SELECT rec_id, bookSourceName AS title, bookSourceUrl AS url FROM corpus_source) b LEFT JOIN (SELECT rec_id, CASE WHEN rec_id % 2 = 0 THEN upper(bookSourceName) END AS title, bookSourceComment AS url FROM corpus_source) o USING (rec_id)""")
@@ -827,10 +909,11 @@ def toc_pairs(spark: SparkSession, d: str) -> DataFrame:
 # ---- more of the tables ---------------------------------------------------------------------------
 
 
-@query("""SELECT rec_id, CASE WHEN lower(regexp_extract(u, '[.]([A-Za-z0-9]+)$', 1)) <> '' THEN lower(regexp_extract(u, '[.]([A-Za-z0-9]+)$', 1)) END AS ext FROM (SELECT delivery_id AS rec_id, regexp_replace(link, '[?#].*$', '') AS u FROM rss_entry WHERE link IS NOT NULL) WHERE regexp_matches(u, '[.][A-Za-z0-9]+$')""")
+@query("""SELECT rec_id, CASE WHEN lower(regexp_extract(u, '[.]([A-Za-z0-9]+)$', 1)) <> '' THEN lower(regexp_extract(u, '[.]([A-Za-z0-9]+)$', 1)) END AS ext FROM (SELECT delivery_id AS rec_id, regexp_replace(link, '[?#].*$', '') AS u FROM rss_entry)""")
 def link_extension(spark: SparkSession, d: str) -> DataFrame:
     u = F.regexp_replace("link", r"[?#].*$", "")
-    return table(spark, d, "rss_entry").filter("link is not null").select(F.col("delivery_id").alias("rec_id"), u.alias("u")).filter(F.col("u").rlike(r"[.][A-Za-z0-9]+$")).select("rec_id", T.extension(F.regexp_extract("u", r"([^.]*\.[A-Za-z0-9]+)$", 1)).alias("ext"))
+    """What follows the last dot of every link, null where that is no extension or there is no link."""
+    return table(spark, d, "rss_entry").select(F.col("delivery_id").alias("rec_id"), T.extension(F.regexp_extract(u, r"([.][A-Za-z0-9]+)$", 1)).alias("ext"))
 
 
 @query("""SELECT subscription_id, min(first_seen_at) AS first_seen, max(first_seen_at) AS last_seen, count(DISTINCT id) AS ids, count(*) - count(id) AS without_id FROM rss_entry GROUP BY 1""")

@@ -55,7 +55,15 @@ def test_chapters():
     assert B.split_chapters("no headings") == [("正文", "no headings")]
     long = "é" * 20_000
     parts = B.split_chapters(long)
-    assert len(parts) == 4 and "".join(p for _, p in parts) == long
+    assert parts == [("第1章(1)", long)]  # a piece ends at a line's end
+    lines = "".join(f"line {k} {'x' * 90}\n" for k in range(1000))
+    spans = B.chapter_spans(lines)
+    assert [t for t, *_ in spans][:2] == ["第1章(1)", "第2章(1)"] and all(lines[a:e].strip("\n") == c for _, c, a, e in spans)
+    assert spans[0][2] == 0 and spans[-1][3] == len(lines) and all(x[3] == y[2] for x, y in zip(spans, spans[1:]))
+    assert all(B.CHUNK < len(lines[a:e].encode()) <= B.CHUNK + 100 for _, _, a, e in spans[:-1]) and all(c.count("line") for _, c, _, _ in spans)
+    short = "y" * 10_300 + "\n" + "tail"
+    assert B.split_by_size(short) == [("第1章(1)", "y" * 10_300 + "\ntail", 0, len(short))]
+    assert B.chapter_spans(text)[1] == ("第1章 甲", "x", 3, 12) and text[3:12] == "第1章 甲\nx\n\n"
     assert B.split_by_marker("A\n1#B\n2# ", "#") == [("A", "1"), ("B", "2")]
     assert B.merge_short([("a", "x" * 200), ("b", "y")], 100) == [("a", "x" * 200 + "\nb\ny")]
     assert [t for t, _ in B.greedy_matches("#1" + "é" * 600 + "#2aa#3", re.compile(r"#\d"))] == ["#1", "#2"]
@@ -115,3 +123,34 @@ def test_sources(spark, rows, tmp_path):
     assert S.chapters(df, "k", "x", marker="<item>").filter("k = 1").count() == 4
     assert rows(S.requests(df, "k", "title").select("k", "url").distinct()) == [(k, "c") for k in (1, 2, 3, 4)]
     assert S.feed_entries(df.limit(0), "k", "x").count() == 0
+
+
+@pytest.mark.parametrize("line, want", [(x, True) for x in ("第一部 起", "第二篇", "【第一章 开端】", "序章", "楔子", "番外 一", "Prologue", "CHAPTER IV: x", "chapter 12", "第壹卷", "《尾声》")] + [(x, False) for x in ("第 章", "番外" + "x" * 21, "chapters of", "Chapter", "序章 x", "第一章" + "x" * 60, "", "Civil war")])
+def test_the_wider_sense_of_a_heading(line, want):
+    assert B.is_book_heading(line) == want
+
+
+def test_plain_texts_with_titles():
+    text = "\ufeffBook\r\n\r\nbefore\r\n序章\r\na \r\n\r\n第一部 起\r\nb"
+    assert B.read_text(text) == ("Book", [("序", "before"), ("序章", "a"), ("第一部 起", "b")])
+    assert B.read_text("第一章\nx") == ("", [("第一章", "x")]) and B.read_text("only") == ("only", []) and B.read_text("t\nbody") == ("t", [("正文", "body")])
+    assert B.read_text("t\n第一章\n" + "x" * 200 + "\n第二章\ny", least=100)[1] == [("第一章", "x" * 200 + "\n第二章\ny")]
+    tree = [{"title": "A", "href": "a", "children": [{"title": "B", "href": "b", "children": [{"title": "C"}]}]}, {"title": "D"}]
+    assert [(x["title"], x["level"], x["place"]) for x in B.flatten_toc(tree)] == [("A", 0, 0), ("B", 1, 1), ("C", 2, 2), ("D", 0, 3)]
+    assert [B.resource_kind(*x) for x in (("i.png", "image/png"), ("c.css", ""), ("f.x", "application/font-woff"), ("p.xhtml", ""), ("z.bin", "")) ] == ["image", "stylesheet", "font", "document", "other"]
+    assert B.resource_kind("i.png", "image/png", True) == "cover" and B.preview("<p>a <b>b</b></p><script>x</script>", 2) == "a "[:2]
+
+
+def test_feed_pages_and_items(spark):
+    from quire.functions.text import ReplaceRule
+    from quire.sources import books as S
+
+    rss = "<rss><channel><title>f</title><link rel='next' href=' /p2 '/><item><guid>1</guid><title> A x </title></item><item><guid>1</guid><title>B</title></item><item><guid>2</guid><title>C</title></item></channel></rss>"
+    js = '{"title":"j","next_url":"u2","items":[{"id":"a","title":"x"},{"id":"a","title":"y"}]}'
+    df = spark.createDataFrame([(1, rss, "/p1"), (2, rss, "/p2"), (3, js, None), (4, "no feed", None), (5, None, None), (6, "<rss><channel><item><link/></item></channel></rss>", None)], "k int, x string, u string")
+    assert {r.k: (r.entries, r.next_url) for r in S.feed_pages(df, "k", "x", "u").collect()} == {1: (2, "/p2"), 2: (2, None), 3: (1, "u2")}
+    assert sorted((r.k, r.pos) for r in S.feed_entries(df, "k", "x", all_items=True).filter("error is null").collect()) == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2), (3, 0), (3, 1)]
+    assert {r.k for r in S.feed_entries(df, "k", "x").filter("error is not null").collect()} == {4, 6}
+    items = S.feed_items(df, "k", "x", [ReplaceRule("X", "y", flags="i")], most=1)
+    assert {r.k: (r.id, r.title) for r in items.collect()} == {1: ("1", "A y"), 2: ("1", "A y"), 3: ("a", "y")}
+    assert [tuple(r)[1:3] for r in S.book_texts(spark.createDataFrame([(1, "T\\n序章\\na".replace("\\n", chr(10))), (2, "T"), (3, None)], "k int, t string"), "k", "t").collect()] == [("T", 0), ("T", None)]

@@ -1,7 +1,7 @@
 import importlib.util
 from pathlib import Path
 
-from quire.session import free_name, shared_dir, spread, stage, table
+from quire.session import RANGE, free_name, ranges, shared_dir, spread, stage, sweep, table
 
 
 def test_stored_tables_lie_in_the_shared_folder(spark):
@@ -11,8 +11,10 @@ def test_stored_tables_lie_in_the_shared_folder(spark):
 
 
 def test_spread_moves_only_small_inputs(spark):
-    few, many = spark.range(100).coalesce(1), spark.range(100).repartition(9)
+    few, many = spark.range(100).coalesce(1), spark.range(10**9)
     assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(many) is many
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert ranges(few) == own and ranges(many) == 8 * 10**9 // RANGE + 1
     assert free_name(spark.range(1).toDF("ID"), "id") == "id_"
 
 
@@ -25,3 +27,10 @@ def test_entry(spark):
     if Path("/root/testdata/sf0.001").exists():
         assert entry.entry(spark).columns == ["rec_id", "field_name", "pos", "item"]
         assert table(spark, "/root/testdata/sf0.001", "region").count() == 5
+
+
+def test_swept_tables_are_gone(spark):
+    files = stage(spark.range(3), "swept").inputFiles()
+    assert all(Path(f.removeprefix("file://")).exists() for f in files)
+    sweep(spark)
+    assert files and not any(Path(f.removeprefix("file://")).exists() for f in files)
