@@ -34,6 +34,11 @@ def stated_instants(spark: SparkSession, d: str) -> DataFrame:
     return dates.unionByName(published).unionByName(updated)
 
 
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The list field alone."""
+    return packed.split_packed(table(spark, d, "corpus_source"), "rec_id", {"bookSourceGroup": "list"})
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Values met in earlier runs are in the kept dictionary; only others are parsed."""
     return instants.normalise_instants(stated_instants(spark, d), kept_dir(spark, "instants"))
@@ -99,7 +104,7 @@ def p7_kept(spark: SparkSession, d: str) -> DataFrame:
     return deliveries.deduplicate(table(spark, d, "rss_entry"), MESSAGES["rss_entry"], ["first_seen_at", "delivery_id"])
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p3_found": p3_found, "p3_batches": p3_batches, "p3_numbers": p3_numbers, "p5_found": p5_found, "p5_table": p5_table, "p5_versions": p5_versions, "p5_steps": p5_steps, "p5_report": p5_report, "p7_found": p7_found, "p7_kept": p7_kept, "p7_batches": p7_batches}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_batches": p3_batches, "p3_numbers": p3_numbers, "p5_found": p5_found, "p5_table": p5_table, "p5_versions": p5_versions, "p5_steps": p5_steps, "p5_report": p5_report, "p7_found": p7_found, "p7_kept": p7_kept, "p7_batches": p7_batches}
 
 SQL: dict[str, str] = {
     "p7_found": """
@@ -183,3 +188,14 @@ SQL["p3_numbers"] = """
     b AS (SELECT rec_id, list_filter([n * 1000::HUGEINT, n::HUGEINT, (n // 1000)::HUGEINT, (n // 1000000)::HUGEINT,
       epoch_ms(CASE length(t) WHEN 14 THEN try_strptime(t, '%Y%m%d%H%M%S') WHEN 12 THEN try_strptime(t, '%Y%m%d%H%M') WHEN 8 THEN try_strptime(t, '%Y%m%d') END)::HUGEINT], lambda x: x >= 1420070400000 AND x < 1830297600000) AS ms FROM a)
     SELECT 'lastUpdateTime' AS field_name, rec_id AS row_key, CAST(ms[1] AS BIGINT) AS epoch_ms FROM b WHERE len(ms) > 0"""
+
+_SEP = r",，、､;；|｜/／&＆\t\n\x{0B}\x{0C}\r\x{85}\x{2028}\x{2029}"
+_GAP = r" \x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
+_CUT = rf"^[{_GAP}\s\x{{0B}}\x{{85}}]+|[{_GAP}\s\x{{0B}}\x{{85}}]+$"
+#: Items of the list field: l holds them, e one row each.
+LIST_ITEMS = rf"""a AS (SELECT rec_id, bookSourceGroup AS g, regexp_matches(regexp_replace(bookSourceGroup, '"[^"]*"|“[^”]*”', '', 'g'), '[{_SEP}]') AS marked FROM corpus_source),
+    b AS (SELECT rec_id, CASE WHEN marked THEN regexp_extract_all(g, '(?:"[^"]*"|“[^”]*”|[^{_SEP}"“])+') ELSE regexp_extract_all(g, '(?:"[^"]*"|“[^”]*”|[^{_SEP}{_GAP}"“])+') END AS i FROM a),
+    c AS (SELECT rec_id, list_transform(i, lambda x: regexp_replace(x, '{_CUT}', '', 'g')) AS i FROM b),
+    l AS (SELECT rec_id, list_filter(list_transform(i, lambda x: regexp_replace(CASE WHEN regexp_full_match(x, '"(?:[^"]|"")*"') THEN replace(x[2:-2], '""', '"') WHEN regexp_full_match(x, '“[^“”]*”') THEN x[2:-2] ELSE x END, '{_CUT}', '', 'g')), lambda x: x <> '') AS l FROM c),
+    e AS (SELECT rec_id, unnest(range(len(l))) AS k, unnest(l) AS i FROM l)"""
+SQL["p1_groups"] = f"WITH {LIST_ITEMS} SELECT rec_id, 'bookSourceGroup' AS field_name, CAST(k AS INTEGER) AS pos, i AS item FROM e"

@@ -621,7 +621,14 @@ def source_tallies(spark: SparkSession, d: str) -> DataFrame:
     return t.groupingSets([[F.col("enabled")], [F.col("bookSourceType")], []], "enabled", "bookSourceType").agg(F.count("*").alias("sources")).select("enabled", "bookSourceType", "sources")
 
 
-@query()
+_PLAIN_LEAF = r"""CASE WHEN type = 'VARCHAR' THEN regexp_replace(trim(regexp_replace(atom ->> '$', '[ \t]+', ' ', 'g')), '^(https?://.*?)/+$', '\1') ELSE CASE WHEN type IN ('ARRAY', 'OBJECT') THEN value::VARCHAR ELSE coalesce(atom::VARCHAR, 'null') END END"""
+
+
+@query(f"""WITH {_VERSION}, pairs AS (SELECT o.export_id AS old_id, n.export_id FROM old o JOIN neu n ON o.series_id = n.series_id AND o.file_no = n.file_no AND o.url = n.url),
+  leaves AS (SELECT s.export_id, j.fullkey AS path, {_PLAIN_LEAF} AS value FROM source_export s, json_tree(s.raw) j WHERE j.type NOT IN ('ARRAY', 'OBJECT') OR j.value::VARCHAR IN ('[]', '{{}}')),
+  x AS (SELECT p.export_id, l.path, l.value FROM pairs p JOIN leaves l ON l.export_id = p.old_id), y AS (SELECT p.export_id, l.path, l.value FROM pairs p JOIN leaves l ON l.export_id = p.export_id)
+  SELECT coalesce(x.export_id, y.export_id) AS export_id, coalesce(x.path, y.path) AS path, CASE WHEN y.path IS NULL THEN 'missing' WHEN x.path IS NULL THEN 'unexpected' ELSE 'value-mismatch' END AS kind, x.value AS expected, y.value AS actual
+  FROM x FULL JOIN y ON x.export_id = y.export_id AND x.path = y.path WHERE x.path IS NULL OR y.path IS NULL OR x.value <> y.value""")
 def export_path_diff(spark: SparkSession, d: str) -> DataFrame:
     """What differs by path between a source's record in a file and in the file before."""
     old, new = versions(spark, d)
