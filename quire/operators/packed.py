@@ -2,8 +2,10 @@
 
 The work is done on Arrow string buffers: code points, quote parity and delimiter masks are numpy
 arrays over a whole batch, child offsets come from the masks, and the values are compacted into one
-list array that is flattened with its parents' ordinals. Only values in an object notation (JSON or
-script-like literals) are parsed one by one, as a grammar can't be expressed by masks.
+list array that is flattened with its parents' ordinals. Object notations (JSON, and literals with bare
+keys, single quotation marks or commas too many) are read by masks as well: which places lie in strings,
+how deep each bracket is, which token may follow which. What these rules don't cover, such as lists
+within lists or objects as values, is parsed value by value.
 """
 
 from __future__ import annotations
@@ -24,7 +26,6 @@ BLANKS = [0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
 LINE_ENDS = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x85, 0x2028, 0x2029]
 LIST_MARKS = [ord(c) for c in ",，、､;；|｜/／&＆"]
 STRAIGHT, OPEN, CLOSE = [0x22, 0xFF02], [0x201C], [0x201D]
-SCRIPT = re.compile(r"\s*(?:@js:|<js>)", re.IGNORECASE)
 
 
 @dataclass
@@ -186,6 +187,11 @@ ESCAPE = re.compile(r"\\(u[0-9a-fA-F]{4}|.)", re.DOTALL)
 PLAIN = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 
 
+def plain_text(s: str) -> str:
+    """s without halves of surrogate pairs, which are no text."""
+    return s if s.isascii() else s.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def unescape(s: str) -> str:
     return ESCAPE.sub(lambda m: chr(int(m[1][1:], 16)) if len(m[1]) == 5 else PLAIN.get(m[1], m[1]), s) if "\\" in s else s
 
@@ -256,29 +262,217 @@ def objects(text: str) -> list[str] | None:
             out.append(f"{title}::{url}" if url else title)
         else:
             out.append(word(x))
-    return [x for x in out if x]
+    return [plain_text(x) for x in out if x]
+
+
+OPEN_LIST, CLOSE_LIST, OPEN_OBJECT, CLOSE_OBJECT, COMMA, COLON, STRING, BARE = range(8)
+MARKS = [ord(c) for c in "[]{},:"]
+SCALAR = r"^(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)$"
+# What a code point may be, as bits of a table over the first plane; others are none of it.
+MARK, BLANK, OTHER_BLANK, CONTROL, HEX, ESCAPED, NO_BARE = (1 << k for k in range(7))
+CLASSES = np.zeros(0x10000, np.uint8)
+for _bit, _codes in ((MARK, MARKS), (BLANK, BLANKS + LINE_ENDS), (OTHER_BLANK, [c for c in BLANKS + LINE_ENDS if c not in (0x20, 0x09, 0x0A, 0x0D)]), (CONTROL, range(0x20)), (HEX, map(ord, "0123456789abcdefABCDEF")), (ESCAPED, map(ord, '"\\/bfnrtu')), (NO_BARE, [0x22, 0x27, *range(0x1C, 0x20)])):
+    CLASSES[list(_codes)] |= _bit
+KIND_OF = np.zeros(0x80, np.int64)
+KIND_OF[MARKS] = np.arange(len(MARKS))
+DEEPEST = 32  # brackets within brackets; deeper values are parsed by themselves
+
+
+def cut_out(t: Text, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The ranges of code points as strings, as they are."""
+    low, size = t.lead[start], t.lead[end] - t.lead[start]
+    offsets = running(size).astype(np.int64)
+    data = t.data[np.repeat(low - offsets[:-1], size) + np.arange(int(offsets[-1]))] if offsets[-1] else np.zeros(0, np.uint8)
+    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def split_objects(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Which rows are arrays of objects or texts, or one object, that masks can read; and of those the
+    row, place and text of each entry title::url, empty ones dropped.
+
+    The same entries as objects() gives. A row counts as JSON, or, if it has a single-quoted text, a
+    bare key, a comma before a bracket or the like, as the lenient notation.
+    """
+    t = scan(column)
+    n_rows, n = len(t.bounds) - 1, len(t.codes)
+    code, rows = t.codes, t.rows
+    first_of_row = t.bounds[:-1][rows] if n else np.zeros(0, np.int64)
+    place = np.arange(n)
+    own = CLASSES[np.minimum(code, 0xFFFF)]
+    per_row = lambda mask: np.bincount(rows[np.flatnonzero(mask)], minlength=n_rows)
+    any_of = lambda mask: per_row(mask) > 0
+    after_ = np.append(own[1:], 0) if n else own
+
+    # strings: quotation marks that no odd number of backslashes stands before; one kind for a row
+    slash = code == 0x5C
+    escaped = np.zeros(n, bool)
+    if len(runs := np.flatnonzero(slash)):  # every second one of a run, and what stands after an odd run
+        begin = np.append(True, (np.diff(runs) > 1) | (rows[runs[1:]] != rows[runs[:-1]]))
+        length = runs - runs[np.maximum.accumulate(np.where(begin, np.arange(len(runs)), 0))]
+        escaped[runs[length % 2 == 1]] = True
+        left = runs[(length % 2 == 0) & (runs + 1 < n)]
+        left = left[rows[np.minimum(left + 1, n - 1)] == rows[left]] + 1
+        escaped[left] = True
+    double, single = code == 0x22, code == 0x27
+    by_single = ~any_of(double) & any_of(single)
+    quote = np.where(by_single[rows], single, double) & ~escaped
+    count = running(quote)
+    odd = (count[:-1] - count[first_of_row]) % 2 == 1 if n else np.zeros(0, bool)
+    inside = odd & ~quote
+    outside = ~odd & ~quote
+    good = per_row(quote) % 2 == 0
+    lenient_row = by_single | any_of(inside & ((own & CONTROL) > 0)) | any_of(slash & inside & ~escaped & ((after_ & ESCAPED) == 0))
+    hexed = np.flatnonzero(escaped & (code == ord("u")) & inside)
+    four = np.ones(len(hexed), bool)
+    for k in range(1, 5):
+        four &= (own[np.minimum(hexed + k, n - 1)] & HEX) > 0 if n else four
+    lenient_row |= np.bincount(rows[hexed[~four]], minlength=n_rows) > 0
+
+    # tokens
+    blank = outside & ((own & BLANK) > 0)
+    lenient_row |= any_of(outside & ((own & OTHER_BLANK) > 0))
+    mark = outside & ((own & MARK) > 0)
+    bare = outside & ~blank & ~mark
+    good &= ~any_of(bare & ((own & NO_BARE) > 0))
+    starts = bare & ~(np.append(False, bare[:-1]) & (np.append(-1, rows[:-1]) == rows)) if n else bare
+    ends = bare & ~(np.append(bare[1:], False) & (np.append(rows[1:], -1) == rows)) if n else bare
+    opening = quote & ~odd
+    at = np.flatnonzero(opening | mark | starts)
+    row = rows[at]
+    kind = np.full(len(at), BARE)
+    kind[opening[at]] = STRING
+    marked = mark[at]
+    kind[marked] = KIND_OF[code[at[marked]]]
+    end = at + 1
+    end[kind == BARE] = np.flatnonzero(ends) + 1
+    closing = np.flatnonzero(quote & odd)
+    opened = np.flatnonzero(opening)
+    if len(opened) != len(closing):  # in rows with an odd number; pair within the others
+        ok = good[rows]
+        closing, opened = np.flatnonzero(quote & odd & ok), np.flatnonzero(opening & ok)
+    close_of = np.full(n + 1, 0)
+    close_of[opened] = closing
+    end[kind == STRING] = close_of[at[kind == STRING]]
+
+    # depth, and what kind of bracket each token is in
+    opens, shuts = np.isin(kind, [OPEN_LIST, OPEN_OBJECT]), np.isin(kind, [CLOSE_LIST, CLOSE_OBJECT])
+    total = running(opens.astype(np.int64) - shuts)
+    row_from = np.searchsorted(row, np.arange(n_rows))
+    row_to = np.searchsorted(row, np.arange(n_rows), side="right")
+    depth = total[1:] - total[row_from[row]] if len(at) else np.zeros(0, np.int64)
+    token_any = lambda mask: np.bincount(row[mask], minlength=n_rows) > 0
+    good &= (row_to > row_from) & ~token_any(depth < 0) & ~token_any(depth > DEEPEST) & (total[row_to] == total[row_from])
+    places = np.arange(len(at))
+    inner = np.full(len(at), -1)
+    for k in range(1, min(int(depth.max(initial=0)), DEEPEST) + 1):
+        latest = np.maximum.accumulate(np.where(opens & (depth == k), places, -1))
+        own = depth == k
+        inner[own] = kind[latest[own]]
+
+    # which token may follow which
+    first, final = np.zeros(len(at), bool), np.zeros(len(at), bool)
+    first[row_from[row_to > row_from]] = True
+    final[row_to[row_to > row_from] - 1] = True
+    prev = np.append(-1, kind[:-1])
+    prev[first] = -1
+    after = np.append(kind[1:], -1)
+    after[final] = -1
+    in_object = inner == OPEN_OBJECT
+    is_key = np.isin(kind, [STRING, BARE]) & in_object & np.isin(prev, [OPEN_OBJECT, COMMA])
+    value_next = np.isin(after, [OPEN_LIST, OPEN_OBJECT, STRING, BARE])
+    ended = (np.isin(kind, [STRING, BARE]) & ~is_key) | shuts
+    shut_next = after == np.where(in_object, CLOSE_OBJECT, CLOSE_LIST)
+    fine = np.select(
+        [kind == OPEN_LIST, kind == OPEN_OBJECT, kind == COMMA, kind == COLON, is_key, ended & (depth == 0), ended],
+        [value_next | (after == CLOSE_LIST), np.isin(after, [STRING, BARE, CLOSE_OBJECT]), np.where(in_object, np.isin(after, [STRING, BARE]), value_next) | shut_next, value_next & in_object, after == COLON, final, (after == COMMA) | shut_next],
+        False,
+    )
+    good &= ~token_any(~fine) & ~token_any(first & ~opens)
+    lenient_row |= token_any(is_key & (kind == BARE)) | token_any((kind == COMMA) & shut_next)
+    values = np.flatnonzero((kind == BARE) & ~is_key)
+    plain = pc.match_substring_regex(cut_out(t, at[values], end[values]), SCALAR).to_numpy(zero_copy_only=False) if len(values) else np.zeros(0, bool)
+    lenient_row |= np.bincount(row[values[~plain]], minlength=n_rows) > 0
+
+    # entries: objects and texts of the outer array, or the outer object
+    outer_object = np.zeros(n_rows, bool)
+    outer_object[row[first & (kind == OPEN_OBJECT)]] = True
+    level = np.where(outer_object, 1, 2)[row]
+    entry_open = (kind == OPEN_OBJECT) & (depth == level)
+    text_entry = (kind == STRING) & (depth == 1) & (inner == OPEN_LIST)
+    good &= ~token_any((kind == OPEN_LIST) & (depth == 2) & ~outer_object[row]) & ~token_any((kind == BARE) & (depth == 1) & (inner == OPEN_LIST))
+    ordinal = running(entry_open)[1:] - 1
+    member = is_key & (depth == level)
+    escapes = running(slash & inside)
+    has_escape = np.zeros(len(at), bool)
+    has_escape[kind == STRING] = escapes[end[kind == STRING]] > escapes[at[kind == STRING]]
+    good &= ~token_any(member & has_escape)
+    start = at + (kind == STRING)
+    number = int(entry_open.sum())
+    held: dict[str, np.ndarray] = {}
+    for name in ("title", "url"):
+        found = member & (end - start == len(name))
+        for k, c in enumerate(name):
+            found[found] = code[start[found] + k] == ord(c)
+        held[name] = np.full(number, -1)
+        keys = np.flatnonzero(found & (places + 2 < len(at)))
+        held[name][ordinal[keys]] = keys + 2  # of a name repeated in one object the last counts
+    used = np.concatenate([held["title"], held["url"]])
+    used = used[used >= 0]
+    bad_value = opens[used]
+    words = used[kind[used] == BARE]
+    word_text = cut_out(t, at[words], end[words])
+    whole = pc.match_substring_regex(word_text, r"^(?:null|-?(?:0|[1-9][0-9]{0,17}))$").to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, bool)
+    for tokens in (used[bad_value], words[~whole]):
+        good[row[tokens]] = False
+
+    def texts(tokens: np.ndarray) -> pa.Array:
+        """The values of tokens (-1: none) as trimmed text."""
+        there = np.where(tokens >= 0, tokens, 0) if len(at) else tokens
+        usable = (tokens >= 0) & good[row[there]] if len(at) else np.zeros(len(tokens), bool)
+        a, b = np.where(usable, start[there], 0), np.where(usable, end[there], 0)
+        out = cut_out(t, a, b)
+        none = usable & (kind[there] == BARE) & pc.equal(out, "null").to_numpy(zero_copy_only=False)
+        out = pc.if_else(pa.array(none), pa.scalar("", pa.large_string()), out)
+        special = usable & has_escape[there]
+        if special.any():
+            easy = lenient_row[row[there[special]]]
+            new = [plain_text(unescape(s)) if lax else plain_text(json.loads(f'"{s}"')) for s, lax in zip(out.filter(pa.array(special)).to_pylist(), easy)]
+            out = pc.replace_with_mask(out, pa.array(special), pa.array(new, pa.large_string()))
+        return pc.utf8_trim_whitespace(out)
+
+    if not len(at):
+        return good, np.zeros(0, np.int64), np.zeros(0, np.int64), pa.array([], pa.large_string())
+    object_at = np.flatnonzero(entry_open)
+    text_at = np.flatnonzero(text_entry)
+    items = pa.concat_arrays([entry(texts(held["title"]), texts(held["url"])), texts(text_at)])
+    token = np.concatenate([object_at, text_at])
+    order = np.argsort(token, kind="stable")
+    order = order[good[row[token[order]]]]
+    parent, where, out = numbered(row[token[order]], items.take(pa.array(order)), n_rows)
+    return good, parent, where, out
 
 
 def split_entries(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Titled entries in any notation: object arrays, lines or && lists; scripts give none."""
     text = pc.fill_null(column, "")
     start = pc.utf8_ltrim_whitespace(text)
-    special = pc.match_substring_regex(start, r"^(?:\[|\{|@[jJ][sS]:|<[jJ][sS]>)").to_numpy(zero_copy_only=False)
-    plain = pc.if_else(pa.array(special), pa.scalar("", column.type), text)
-    parents, places, items = [], [], []
-    for row in np.flatnonzero(special):
-        s = column[int(row)].as_py()
-        if SCRIPT.match(s):
-            continue
-        found = objects(s)
-        if found is None:
-            _, _, lines = split_lines(pa.array([s], column.type))
-            found = lines.to_pylist()
-        parents += [row] * len(found)
-        places += range(len(found))
-        items += found
-    p, k, v = split_lines(plain)
-    return np.concatenate([p, np.array(parents, np.int64)]), np.concatenate([k, np.array(places, np.int64)]), pa.concat_arrays([v, pa.array(items, pa.large_string())])
+    script = pc.match_substring_regex(start, r"^(?:@[jJ][sS]:|<[jJ][sS]>)").to_numpy(zero_copy_only=False)
+    notation = pc.match_substring_regex(start, r"^[\[{]").to_numpy(zero_copy_only=False)
+    special = np.flatnonzero(notation)
+    read, p, k, v = split_objects(text.take(pa.array(special)))
+    parts = [(special[p], k, v)]
+    lines = pc.if_else(pa.array(script | notation), pa.scalar("", column.type), text)
+    rest = special[~read]
+    if len(rest):
+        alone = [objects(text[int(r)].as_py()) for r in rest]
+        plain = np.array([x is None for x in alone])  # no object notation after all
+        mask = np.zeros(len(text), bool)
+        mask[rest[plain]] = True
+        lines = pc.if_else(pa.array(mask), text, lines)
+        sizes = [len(x or ()) for x in alone]
+        parts.append((np.repeat(rest, sizes), np.concatenate([np.arange(n) for n in sizes]).astype(np.int64), pa.array([y for x in alone for y in x or ()], pa.large_string())))
+    parts.append(split_lines(lines))
+    return np.concatenate([p for p, _, _ in parts]).astype(np.int64), np.concatenate([k for _, k, _ in parts]).astype(np.int64), pa.concat_arrays([v for _, _, v in parts])
 
 
 SPLITTERS = {"list": split_list, "entries": split_entries}
