@@ -328,6 +328,14 @@ def slug(c: Column) -> Column:
     return F.when(s == "", fnv1a64(c)).otherwise(s)
 
 
+def item_id(url: Column, place: Column, title: Column) -> Column:
+    """An item's id: its page, or generated from its place and title; null for one without page and title,
+    which is no item."""
+    blank = lambda c: F.coalesce(utrim(c), F.lit("")) == ""
+    made = F.concat(F.lit("generated:"), place.cast("string"), F.lit(":"), slug(utrim(title)))
+    return F.when(~blank(url), utrim(url)).when(~blank(title), made)
+
+
 # ---- time ---------------------------------------------------------------------------------------
 
 

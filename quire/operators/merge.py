@@ -33,6 +33,15 @@ def live(records: DataFrame) -> DataFrame:
     return winners(records).filter(~F.col("deleted"))
 
 
+def package_json(records: DataFrame, snapshot_id: str, device: str, created_at: int) -> DataFrame:
+    """Lines of a package: a header, then one JSON object for each winner in order of its key; the same
+    records give the same package. One column, line, with its number from 0."""
+    rows = running(winners(records).select(*KEY, F.to_json(F.struct(*KEY, *VALUES), {"ignoreNullFields": "false"}).alias("line")), [F.asc(k) for k in KEY])
+    head = F.to_json(F.struct(F.lit(snapshot_id).alias("snapshot_id"), F.lit(device).alias("device_id"), F.lit(created_at).alias("created_at")))
+    first = records.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("line_no"), head.alias("line"))
+    return first.unionByName(rows.select(F.col("row_no").alias("line_no"), "line"))
+
+
 def changed_since(records: DataFrame, since: int) -> DataFrame:
     return records.filter(F.col("updated_at") > since).orderBy("updated_at", *KEY)
 
@@ -152,7 +161,9 @@ def _occurrences(toc: DataFrame, group: list[str], index: str) -> DataFrame:
     key = F.coalesce(F.concat(F.lit("u:"), url), F.concat(F.lit("t:"), title))
     out = toc.select(*group, F.col(index).alias("at"), key.alias("key"), title.alias("name"))
     out = out.withColumn("nth", F.row_number().over(Window.partitionBy(*group, "key").orderBy("at")))
-    return out.withColumn("nth_name", F.row_number().over(Window.partitionBy(*group, "name").orderBy("at")))
+    # blank titles have no number: each is a partition of its own, however many there are
+    alone = F.when(F.col("name") == "", F.col("at"))
+    return out.withColumn("nth_name", F.row_number().over(Window.partitionBy(*group, "name", alone).orderBy("at")))
 
 
 def remap_toc(old: DataFrame, new: DataFrame, group: list[str], index: str) -> DataFrame:

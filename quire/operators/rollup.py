@@ -86,6 +86,27 @@ def diff_paths(canonical: DataFrame, candidate: DataFrame, key: str) -> DataFram
     return j.withColumn("kind", kind).filter("kind is not null").select(key, "path", "kind", "expected", "actual")
 
 
+def candidate_totals(canonical: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    """candidate, documents, matching, mismatching, absent, differences: how the documents (key, path,
+    value) of each candidate (candidate, key, path, value) compare with the canonical ones. A document
+    matches if no path differs; one that a candidate hasn't is absent. Documents and candidates are
+    paired by their own tables, which list each once."""
+    documents = canonical.select(key).distinct()
+    have = candidates.select("candidate", key).distinct()
+    expected = canonical.withColumnRenamed("value", "expected").join(have, key)
+    j = expected.join(candidates.withColumnRenamed("value", "actual"), ["candidate", key, "path"], "full_outer")
+    per = j.groupBy("candidate", key).agg(F.count_if(~F.col("expected").eqNullSafe(F.col("actual"))).alias("n"))
+    totals = per.groupBy("candidate").agg(F.count_if(F.col("n") == 0).alias("matching"), F.count_if(F.col("n") > 0).alias("mismatching"), F.sum("n").alias("differences"))
+    known = have.join(documents, key, "left_semi").groupBy("candidate").agg(F.count("*").alias("__there"))
+    n = documents.count()
+    return totals.join(known, "candidate", "left").select("candidate", F.lit(n).alias("documents"), "matching", "mismatching", (F.lit(n) - F.coalesce("__there", F.lit(0))).alias("absent"), "differences")
+
+
+def missing_sources(expected: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """What is expected and wasn't seen."""
+    return expected.select(key).join(seen.select(key), key, "left_anti")
+
+
 def classify(text: Column, labels: dict[str, str]) -> Column:
     """All labels whose pattern is in the text, in the given order."""
     return F.filter(F.array(*(F.when(text.rlike(p), F.lit(k)) for k, p in labels.items())), lambda x: x.isNotNull())

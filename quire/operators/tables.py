@@ -118,6 +118,24 @@ def prune_cache(cache: DataFrame, oldest: int, most_entries: int, most_bytes: in
     return kept.filter((F.col("row_no") <= most_entries) & (F.col("total") <= most_bytes)).select(*cache.columns)
 
 
+def cached_share(cached: Column, total: Column) -> Column:
+    """How much of a book is cached, 1 for a book without chapters."""
+    return F.when(total == 0, 1.0).otherwise(cached / total)
+
+
+def next_uncached(cached: Column, total: Column, most: int) -> Column:
+    """array of the chapter numbers, counted from 1, that follow what is cached: at most ``most``, none
+    beyond the total."""
+    last = F.least(cached + most, total)
+    return F.when(last > cached, F.sequence(cached + 1, last)).otherwise(F.array().cast("array<bigint>"))
+
+
+def status_counts(rows: DataFrame, by: list[str], status: str, known: list[str]) -> DataFrame:
+    """by, a count for each known status, other and total; a null status is other."""
+    s = F.coalesce(F.col(status), F.lit(""))
+    return rows.groupBy(*by).agg(*(F.count_if(s == k).alias(k) for k in known), F.count_if(~s.isin(known)).alias("other"), F.count("*").alias("total"))
+
+
 # ---- progress ---------------------------------------------------------------------------------
 
 
@@ -180,6 +198,12 @@ def migrate_progress(progress: DataFrame, matched: DataFrame, group: list[str],
     return at.select(*group, F.lit(new_source).alias("source_id"), "book_id", F.col("new_index").alias("chapter_index"), F.lit(0).cast("bigint").alias("chapter_offset"), F.lit(0.0).alias("chapter_progress"), F.lit(updated_at).cast("bigint").alias("updated_at"), "device_id")
 
 
+def update_counts(new: DataFrame, old: DataFrame, group: list[str], locator: str) -> DataFrame:
+    """group, entries and added: how many entries a list has, and how many the list before had not."""
+    known = old.select(*group, locator).distinct().withColumn("__known", F.lit(True))
+    return new.join(known, [*group, locator], "left").groupBy(*group).agg(F.count("*").alias("entries"), F.count_if(F.col("__known").isNull()).alias("added"))
+
+
 def new_by_count(new: DataFrame, known: DataFrame, book: list[str]) -> DataFrame:
     """Rows of the new list (book, chapter_index) beyond the known number of chapters (book, chapter_count);
     all of a book that isn't known."""

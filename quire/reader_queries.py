@@ -13,10 +13,10 @@ from quire.operators import extract as X
 from quire.operators import merge as M
 from quire.operators import rollup as R
 from quire.operators import tables as E
-from quire.reference_queries import _SWITCH, _VERSION, RECORDS, SIDES, TRIM, _xml, deliveries, progress_records, renumbered, sides, versions
+from quire.reference_queries import _FNV, _SWITCH, _VERSION, RECORDS, SIDES, TRIM, _xml, deliveries, progress_records, renumbered, sides, versions
 from quire.session import shared_dir, table
 from quire.sources import books as B
-from quire.streaming.records import latest_updates, refresh_store
+from quire.streaming.records import latest_updates, mark_entries, refresh_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,6 +114,45 @@ def toc_new_by_count(spark: SparkSession, d: str) -> DataFrame:
     return E.new_by_count(new.select("file_no", F.col("line_no").alias("chapter_index"), "export_id"), known, ["file_no"])
 
 
+@query("""SELECT o_orderkey, unnest(range(o_custkey % 7 + 1, least(o_custkey % 7 + 3, o_orderkey % 9) + 1)) AS chapter_no FROM orders""")
+def cache_next(spark: SparkSession, d: str) -> DataFrame:
+    """The chapters to fetch after those that are cached."""
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", F.explode(E.next_uncached(F.col("o_custkey") % 7, F.col("o_orderkey") % 9, 3)).alias("chapter_no"))
+
+
+@query("""SELECT o_orderpriority AS source_id, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS other, count(*) AS total FROM orders GROUP BY 1""")
+def cache_status(spark: SparkSession, d: str) -> DataFrame:
+    return E.status_counts(table(spark, d, "orders").withColumnRenamed("o_orderpriority", "source_id"), ["source_id"], "o_orderstatus", ["F", "O"])
+
+
+@query("""SELECT subscription_id, delivery_id, CASE WHEN batch_id = (SELECT max(batch_id) FROM rss_entry) THEN TRUE ELSE summary IS NOT NULL END AS read FROM rss_entry""")
+def feed_marked(spark: SparkSession, d: str) -> DataFrame:
+    """All entries of the last batch marked as read at once."""
+    e = table(spark, d, "rss_entry").select("subscription_id", "delivery_id", "batch_id", F.col("summary").isNotNull().alias("read"))
+    last = e.agg(F.max("batch_id")).first()[0]
+    return mark_entries(e.drop("batch_id"), e.filter(F.col("batch_id") == last).select("delivery_id", F.lit(True).alias("read")), ["delivery_id"], "read")
+
+
+@query(f"""WITH c AS (SELECT rec_id, unnest(['n', 'u']) AS p, unnest([bookSourceName, coalesce(bookSourceUrl, '')]) AS v FROM corpus_source), x AS (SELECT 'lower' AS candidate, rec_id, p, lower(v) AS v FROM c WHERE rec_id % 10 <> 0 UNION ALL SELECT 'same', rec_id, p, v FROM c),
+    j AS (SELECT x.candidate, x.rec_id, count(*) FILTER (regexp_replace(trim(regexp_replace(x.v, '[ \\t]+', ' ', 'g')), '^(https?://.*?)/+$', '\\1') <> regexp_replace(trim(regexp_replace(c.v, '[ \\t]+', ' ', 'g')), '^(https?://.*?)/+$', '\\1')) AS n FROM x JOIN c ON c.rec_id = x.rec_id AND c.p = x.p GROUP BY 1, 2)
+    SELECT candidate, (SELECT count(*) FROM corpus_source) AS documents, count(*) FILTER (n = 0) AS matching, count(*) FILTER (n > 0) AS mismatching, (SELECT count(*) FROM corpus_source) - count(*) AS absent, CAST(sum(n) AS BIGINT) AS differences FROM j GROUP BY 1""")
+def run_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Two candidates' documents against the canonical ones: one in lower case with some missing, one equal."""
+    s = table(spark, d, "corpus_source")
+    doc = lambda f: R.flatten_json(s.select("rec_id", F.to_json(F.struct(f(F.col("bookSourceName")).alias("n"), f(F.coalesce("bookSourceUrl", F.lit(""))).alias("u"))).alias("j")), "rec_id", "j")
+    candidates = doc(F.lower).filter("rec_id % 10 <> 0").withColumn("candidate", F.lit("lower")).unionByName(doc(lambda c: c).withColumn("candidate", F.lit("same")))
+    return R.candidate_totals(doc(lambda c: c), candidates, "rec_id")
+
+
+@query(f"""WITH w AS (SELECT *, row_number() OVER (PARTITION BY collection, record_id ORDER BY updated_at DESC, deleted DESC, revision DESC, device_id DESC, payload DESC) AS n FROM {RECORDS})
+    SELECT 0::BIGINT AS line_no, '{{"snapshot_id":"s1","device_id":"d1","created_at":5}}' AS line UNION ALL
+    SELECT row_number() OVER (ORDER BY collection, record_id), '{{"collection":' || to_json(collection) || ',"record_id":' || to_json(record_id) || ',"updated_at":' || updated_at || ',"deleted":' || deleted || ',"revision":' || revision || ',"device_id":' || to_json(device_id) || ',"payload":' || to_json(payload) || '}}' FROM w WHERE n = 1""")
+def sync_package(spark: SparkSession, d: str) -> DataFrame:
+    """A package of the winners as lines of JSON."""
+    return M.package_json(deliveries(spark, d), "s1", "d1", 5)
+
+
 # ---- decisions and journals -----------------------------------------------------------------------------
 
 _CAT = """cat AS (SELECT 'b' || rec_id AS book_id, md5(ruleSearch) AS checksum, sourceId AS filename, bookSourceName AS title, bookSourceGroup AS author, weight AS chapters, 'f' || bookSourceType AS format, customOrder % 4 AS parser FROM corpus_source WHERE rec_id % 2 = 0),
@@ -257,6 +296,12 @@ def url_parts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "recorded_step").select("step_id", T.url_parts(F.col("final_url")).alias("u")).select("step_id", "u.*")
 
 
+@query(rf"""SELECT delivery_id, coalesce(nullif({TRIM('link')}, ''), 'generated:' || delivery_id || ':' || CASE WHEN regexp_matches(lower({TRIM('title')}), '[a-z0-9]') THEN regexp_replace(regexp_replace(lower({TRIM('title')}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') ELSE {_FNV.format(x=TRIM('title'))} END) AS item_id FROM rss_entry""")
+def item_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of entries that have no page of their own."""
+    return table(spark, d, "rss_entry").select("delivery_id", T.item_id(F.col("link"), F.col("delivery_id"), F.col("title")).alias("item_id"))
+
+
 # ---- texts and feeds ------------------------------------------------------------------------------------------
 
 _HEADS = ["第一部 起", "【第二篇】", "序章", "Prologue", "CHAPTER IV: x", "番外 一", "plain", "第 三 章"]

@@ -941,15 +941,14 @@ def cache_ratio(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.countDistinct("l_linenumber").alias("n"))
     total = 3 + F.col("o_custkey") % 6
     cached = F.coalesce("n", F.lit(0))
-    return table(spark, d, "orders").join(n, "o_orderkey", "left").select(F.col("o_orderkey").alias("book_key"), F.col("o_orderpriority").alias("source_id"), cached.alias("cached"), total.alias("total"), F.round(cached / total, 6).alias("share"))
+    return table(spark, d, "orders").join(n, "o_orderkey", "left").select(F.col("o_orderkey").alias("book_key"), F.col("o_orderpriority").alias("source_id"), cached.alias("cached"), total.alias("total"), F.round(E.cached_share(cached, total), 6).alias("share"))
 
 
 @query(f"""WITH {_VERSION} SELECT n.file_no, count(*) AS entries, count(*) FILTER (o.url IS NULL) AS added FROM neu n LEFT JOIN (SELECT DISTINCT file_no, url FROM old) o ON o.file_no = n.file_no AND o.url = n.url GROUP BY 1""")
 def update_counts(spark: SparkSession, d: str) -> DataFrame:
     """Per file how many entries it has and how many the file before had not."""
     old, new = versions(spark, d)
-    o = old.select("file_no", "url").distinct().withColumn("known", F.lit(True))
-    return new.join(o, ["file_no", "url"], "left").groupBy("file_no").agg(F.count("*").alias("entries"), F.count_if(F.col("known").isNull()).alias("added"))
+    return E.update_counts(new, old, ["file_no"], "url")
 
 
 @query("""SELECT source_id, level, count(*) AS steps, count(*) FILTER (response_status = 200) AS passed, count(DISTINCT url) AS urls, max(response_status) AS worst FROM recorded_step GROUP BY 1, 2""")
@@ -960,8 +959,7 @@ def run_steps(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT s.sourceId AS source_id FROM corpus_source s WHERE NOT EXISTS (SELECT 1 FROM recorded_step r WHERE r.source_id = s.sourceId)""")
 def run_missing_sources(spark: SparkSession, d: str) -> DataFrame:
     """Sources without a recorded run."""
-    r = table(spark, d, "recorded_step").select(F.col("source_id"))
-    return table(spark, d, "corpus_source").select(F.col("sourceId").alias("source_id")).join(r, "source_id", "left_anti")
+    return R.missing_sources(table(spark, d, "corpus_source").select(F.col("sourceId").alias("source_id")), table(spark, d, "recorded_step"), "source_id")
 
 
 @query("""SELECT CASE WHEN response_status = 200 THEN 'ok' WHEN response_status = 404 THEN 'missing' WHEN response_status BETWEEN 300 AND 399 THEN 'moved' WHEN response_status BETWEEN 400 AND 499 THEN 'refused' ELSE 'failed' END AS reason, level, count(*) AS steps FROM recorded_step GROUP BY 1, 2""")

@@ -59,6 +59,13 @@ def refresh_store(batch: DataFrame, store: str, keys: list[str], order: list[str
         new.unpersist()
 
 
+def mark_entries(entries: DataFrame, marks: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """entries with ``column`` as marks (keys, column) say, of several for an entry the greatest; others
+    keep theirs. A bulk update: one join, whatever the number of marks."""
+    new = marks.groupBy(*keys).agg(F.max(column).alias("__new"))
+    return entries.join(new, keys, "left").withColumn(column, F.coalesce("__new", column)).select(*entries.columns)
+
+
 def unread_counts(entries: DataFrame, group: str) -> DataFrame:
     """Entries and unread ones (read is false or null) per group, over a batch or a stream."""
     return entries.groupBy(group).agg(F.count("*").alias("entries"), F.count_if(~F.coalesce(F.col("read"), F.lit(False))).alias("unread"))
