@@ -83,7 +83,7 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-SMALL = 64 << 20  # bytes that spread() may move
+SMALL = 16 << 20  # bytes that spread() may move
 RANGE = 64 << 20  # bytes of input for one range
 
 
