@@ -50,7 +50,7 @@ def extract(df: DataFrame, key: str, text: str, rules: dict[str, Rule]) -> DataF
                     out[n].append(_values(p, doc) if s else [])
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, pa.list_(pa.string())) for v in out.values())], [key, *plans])
 
-    return spread(df.select(F.col(f"`{key}`"), F.col(f"`{text}`"))).mapInArrow(run, schema)
+    return spread(df.select(F.col(f"`{key}`"), F.col(f"`{text}`")), df).mapInArrow(run, schema)
 
 
 def items(df: DataFrame, key: str, text: str, list_rule: str | None, fields: dict[str, str | tuple[str, str]], variables: dict[str, str] | None = None) -> DataFrame:
@@ -103,7 +103,7 @@ def items(df: DataFrame, key: str, text: str, list_rule: str | None, fields: dic
                         out[n].append(one(doc, n))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), pa.array(pos, pa.int32()), *(pa.array(v, pa.string()) for v in out.values())], names)
 
-    return spread(df.select(F.col(f"`{key}`"), F.col(f"`{text}`"))).mapInArrow(run, schema)
+    return spread(df.select(F.col(f"`{key}`"), F.col(f"`{text}`")), df).mapInArrow(run, schema)
 
 
 def merge_fields(base: DataFrame, found: DataFrame, key: str, fields: list[str]) -> DataFrame:

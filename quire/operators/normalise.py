@@ -75,7 +75,7 @@ def normalise_texts(df: DataFrame, key: str, text: str, **options: object) -> Da
             out = [None if s is None else normalise(s, **options) for s in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array([None if s is None else len(s) for s in out], pa.int32())], [key, "text", "n_chars"])
 
-    out = spread(df.select(F.col(f"`{key}`"), F.col(f"`{text}`"))).mapInArrow(run, schema)
+    out = spread(df.select(F.col(f"`{key}`"), F.col(f"`{text}`")), df).mapInArrow(run, schema)
     return out.withColumn("fingerprint", fnv1a64(F.col("text")))
 
 
@@ -93,7 +93,7 @@ def chapter_documents(df: DataFrame, key: str, book: str, title: str, text: str)
             parts = [[p.strip() for p in s.split("\n\n") if p.strip()] for s in content]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(content, pa.string()), pa.array(parts, pa.list_(pa.string())), pa.array(map(len, content), pa.int32()), pa.array([bool(s) for s in content])], [key, "content", "paragraphs", "char_len", "valid"])
 
-    out = spread(df.select(*(F.col(f"`{c}`") for c in (key, book, title, text)))).mapInArrow(run, schema)
+    out = spread(df.select(*(F.col(f"`{c}`") for c in (key, book, title, text))), df).mapInArrow(run, schema)
     return out.withColumn("fingerprint", fnv1a64(F.col("content")))
 
 

@@ -87,10 +87,10 @@ SMALL = 16 << 20  # bytes that spread() may move
 RANGE = 64 << 20  # bytes of input for one range
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df dealt out to all cores if it is a small table (at most SMALL bytes by the engine's
-    statistics), which would be one task's work; a larger one stays in the splits it is read in."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if input_bytes(df) <= SMALL else df
+def spread(df: DataFrame, source: DataFrame) -> DataFrame:
+    """df, columns of source, dealt out to all cores if source is a small table (at most SMALL bytes by the
+    engine's statistics), which would be one task's work; a larger one stays in the splits it is read in."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if input_bytes(source) <= SMALL else df
 
 
 def ranges(df: DataFrame) -> int:

@@ -12,7 +12,7 @@ def test_stored_tables_lie_in_the_shared_folder(spark):
 
 def test_spread_moves_only_small_inputs(spark):
     few, many = spark.range(100).coalesce(1), spark.range(10**9)
-    assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(many) is many
+    assert spread(few, few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(many, many) is many
     own = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert ranges(few) == own and ranges(many) == 8 * 10**9 // RANGE + 1
     assert free_name(spark.range(1).toDF("ID"), "id") == "id_"
