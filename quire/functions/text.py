@@ -111,14 +111,24 @@ def decode_entities(c: Column) -> Column:
     stands between & and the next ; is an entity's name; an unknown one stays as it is."""
     names = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
 
-    def piece(x: Column) -> Column:
-        name = F.regexp_extract(x, r"(?s)^&([^;]*);$", 1)
+    def piece(x: Column, before: Column) -> Column:
+        """What follows an & up to the next one; before: the piece before, ; for the first, null for none."""
+        name = F.substring_index(x, ";", 1)
         number = F.coalesce(F.conv(F.nullif(F.regexp_extract(name, r"^#[xX]([0-9a-fA-F]{1,8})$", 1), F.lit("")), 16, 10), F.nullif(F.regexp_extract(name, r"^#0*([0-9]{1,10})$", 1), F.lit("")))
-        short = (name != "") & (F.length(name) <= LONGEST_ENTITY)
-        return F.when(x.startswith("&") & short, F.coalesce(F.element_at(names, name), character(number.cast("bigint")), x)).otherwise(x)
+        text = F.when(name.startswith("#"), character(number.cast("bigint"))).otherwise(F.element_at(names, name))
+        closed = F.contains(x, F.lit(";")) & F.contains(before, F.lit(";")) & (F.length(name) <= LONGEST_ENTITY)
+        return F.when(before.isNull(), x).otherwise(F.coalesce(F.when(closed, F.concat(text, F.substr(x, F.length(name) + 2))), F.concat(F.lit("&"), x)))
+
+    def joined(parts: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("string"), F.lit(";")), F.slice(parts, 2, F.size(parts)))
+        return F.array_join(F.zip_with(parts, before, piece), "")
+
+    return once(c, lambda t: F.when(F.contains(t, F.lit("&")), once(F.split(t, "&", -1), joined)).otherwise(t))
+
 
-    pieces = F.regexp_extract_all(c, F.lit(r"(?s)(&[^;]*;|&[^;]*$|[^&]+)"), F.lit(1))
-    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(pieces, piece), "")).otherwise(c)
+def once(c: Column, f) -> Column:
+    """f(c) with c computed once, however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def _lines(c: Column) -> Column:

@@ -350,7 +350,7 @@ def cache_prefetch(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT source_id, book_id, chapter_index, content, cached_at FROM (SELECT *, row_number() OVER w AS n, sum(strlen(content)) OVER w AS total FROM {CACHE} WHERE cached_at >= 850000000
     WINDOW w AS (ORDER BY cached_at DESC, source_id DESC, book_id DESC, chapter_index DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE n <= 400000 AND total <= 300000""")
 def cache_prune(spark: SparkSession, d: str) -> DataFrame:
-    return E.prune_cache(cache(spark, d), 850_000_000, 400_000, 300_000)
+    return E.prune_cache(stage(cache(spark, d), "cache"), 850_000_000, 400_000, 300_000)
 
 
 @query("""SELECT user_id, event_type, event_id, updated_at FROM (SELECT user_id, event_type, event_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS updated_at, row_number() OVER (PARTITION BY user_id, event_type ORDER BY CAST(floor(epoch(ts) / 3600) AS BIGINT) DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
